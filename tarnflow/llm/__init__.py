@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, secret_scan, tokenfile
+from . import packing, quality_rules, secret_scan, simhash, tokenfile
 
-_MODULES = (quality_rules, secret_scan, tokenfile, packing)
+_MODULES = (quality_rules, secret_scan, simhash, tokenfile, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
