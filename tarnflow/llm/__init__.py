@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, packing, quality_rules, secret_scan, simhash, tokenfile
+from . import classifier, htmltext, langid, packing, quality_rules, secret_scan, simhash, tokenfile
 
-_MODULES = (quality_rules, secret_scan, simhash, tokenfile, packing, classifier)
+_MODULES = (quality_rules, secret_scan, simhash, htmltext, tokenfile, langid, packing, classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
