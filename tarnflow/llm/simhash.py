@@ -291,6 +291,20 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return each.join(named, each["fp"] == named["fp_"]).select("doc_id", "fp", "component_id")
 
 
+def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs with one document of each component, that with the least doc_id, and one row of it. The others' ids
+    are few beside the texts, so it is these that the texts are held against. Rows without a doc_id stay."""
+    spark = docs.sparkSession
+    found = near_duplicates(docs, distance, shingle)
+    gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    stay = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1)
+    if not ids:
+        return stay
+    first = stay.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return first.unionByName(stay.filter(F.col("doc_id").isNull()))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
