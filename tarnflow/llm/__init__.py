@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, classifier, htmltext, langid, packing, quality_rules, secret_scan, simhash, tokenfile
+from . import annsearch, classifier, htmltext, langid, packing, pieces_lattice, quality_rules, secret_scan, simhash, tokenfile
 
-_MODULES = (quality_rules, secret_scan, simhash, htmltext, tokenfile, langid, annsearch, packing, classifier)
+_MODULES = (pieces_lattice, quality_rules, secret_scan, simhash, htmltext, tokenfile, langid, annsearch, packing, classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
