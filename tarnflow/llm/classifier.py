@@ -55,8 +55,8 @@ class Network:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded to whole chunks, and a last step of padding; the chunks of each text."""
-    chunks = np.array([max(1, -(-len(t) // CHUNK)) for t in texts])
+    """Bytes of all texts, each padded to whole chunks with a filter's reach of padding at least; the chunks of each text."""
+    chunks = np.array([-(-(len(t) + WIDTH - STEP) // CHUNK) for t in texts])
     out = np.full(int(chunks.sum()) * CHUNK + WIDTH, 256, dtype=np.int16)
     starts = np.concatenate([[0], np.cumsum(chunks)[:-1]]) * CHUNK
     for at, t in zip(starts.tolist(), texts, strict=True):
@@ -73,6 +73,9 @@ def forward(net: Network, texts: list[bytes]) -> tuple[np.ndarray, dict]:
     z = taps[:n, :FILTERS] + net.bias
     for k in range(1, TAPS):
         z += taps[k : n + k, k * FILTERS : (k + 1) * FILTERS]
+    ends = np.cumsum(chunks) * WINDOWS
+    for k in range(1, TAPS):
+        z[ends - k] = -1e9  # these windows begin in the padding and reach into the next text
     z = z.reshape(-1, WINDOWS, FILTERS)
     pools = np.maximum(z.max(axis=1), 0)
     starts = np.concatenate([[0], np.cumsum(chunks)[:-1]])
@@ -89,7 +92,8 @@ def backward(net: Network, kept: dict, slope: np.ndarray) -> list[np.ndarray]:
     of_features = slope[:, None] * net.weights
     of_pools = of_features[doc, FILTERS:] / chunks[doc, None]
     top = pools == kept["most"][doc]
-    of_pools = of_pools + of_features[doc, :FILTERS] * top
+    ties = np.add.reduceat(top.astype(np.float32), np.concatenate([[0], np.cumsum(chunks)[:-1]]), axis=0)
+    of_pools = of_pools + of_features[doc, :FILTERS] * top / ties[doc]
     of_pools *= pools > 0
     window = z.argmax(axis=1) + np.arange(len(z))[:, None] * WINDOWS
     chunk, f = np.nonzero(of_pools)

@@ -3,9 +3,9 @@
 A scanner cuts the markup into blocks. What a page marks as menu, header, footer, sidebar, notice, advert, form or
 reader comments (by element, role, class or id) is left out; if the page has an article (or else a main part), so is
 all outside of it. Pass one classifies each block by length, link density and stop-word density: good, bad, or
-ambiguous. In pass two an ambiguous block takes the label of the nearest decided block, before or after, by the
-characters between them; if both are as near, or nothing is decided, it takes the label of the part of the page that
-it is in: good inside the article, and good where nothing else is.
+ambiguous. In pass two an ambiguous block takes the label of the nearest decided blocks before and after it. If these
+differ, it is good inside the article and takes the label of the nearer one, by the characters between, elsewhere; if
+there are none, it is good inside the article, and elsewhere where nothing else is.
 
 Null and empty pages, and pages without main text, have an empty text. A page cut off in the middle keeps what comes
 before. Repeated rows have equal results, null page_ids stay, an empty table gives no rows, other columns are not
@@ -198,13 +198,14 @@ def second_pass(found: list[Block]) -> None:
             continue
         (left, left_gap), (right, right_gap) = before[i], (label, gap)
         gap += len(b.text)
-        if left and right and left != right:
-            own = "good" if b.inside else "bad"
-            b.label = own if left_gap == right_gap else left if left_gap < right_gap else right
+        if b.inside:
+            b.label = "bad" if left == right == "bad" and not none_good else "good"
+        elif left and right and left != right and left_gap != right_gap:
+            b.label = left if left_gap < right_gap else right
+        elif left and right and left != right:
+            b.label = "bad"
         else:
-            b.label = left or right or ("good" if b.inside or none_good else "bad")
-        if b.inside and none_good and b.links * 2 <= len(b.text):
-            b.label = "good"
+            b.label = left or right or ("good" if none_good else "bad")
 
 
 def extract(page: str | None) -> str:

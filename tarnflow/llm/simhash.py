@@ -175,6 +175,10 @@ def _flips(width: int, t: int) -> list[int]:
     return [sum(1 << b for b in some) for r in range(1, t + 1) for some in combinations(range(width), r)]
 
 
+def _probe(part: int, bits: list[int]):
+    return lambda flip: F.struct(F.lit(part).alias("part"), _key(bits).bitwiseXOR(flip).alias("v"), F.lit(1).alias("probe"))
+
+
 class Forest:
     """Union by the least node, to drop links that join nothing new."""
 
@@ -227,7 +231,7 @@ def links(distinct: DataFrame, partitions: list[tuple[list[int], int]], distance
     for k, (bits, t) in enumerate(partitions):
         if t > 0:
             flips = F.array(*[F.lit(x).cast("long") for x in _flips(len(bits), t)])
-            sets.append(F.transform(flips, lambda f, k=k, bits=bits: F.struct(F.lit(k).alias("part"), _key(bits).bitwiseXOR(f).alias("v"), F.lit(1).alias("probe"))))
+            sets.append(F.transform(flips, _probe(k, bits)))
     rows = distinct.select("fp", F.explode(F.concat(*sets) if len(sets) > 1 else own).alias("x")).select("fp", "x.*")
     # Buckets with one row and no partner need no comparison; large ones are cut into tiles.
     sizes = rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
