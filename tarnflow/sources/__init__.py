@@ -1,0 +1 @@
+"""Sources and sinks: tables and files as streams, and files as topics."""
