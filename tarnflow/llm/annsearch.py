@@ -27,9 +27,11 @@ from .common import kept, table
 
 K, EVERY = 5, 50
 #: The bound of the sample that the tree is fitted on, and of that which calibrates the visits.
-SAMPLE, CALIBRATION = 60_000, 64
-BRANCHES, LEAF, ROUNDS, SEED = 16, 48, 8, 11
-RECALL = 0.98
+SAMPLE, CALIBRATION = 60_000, 128
+BRANCHES, ROUNDS, SEED = 16, 8, 11
+#: Leaves grow in number with the root of the vectors, so that neither visits nor a visit's work grow as fast as these; LEAF is the fewest of the sample that a leaf is fitted on.
+LEAVES, LEAF = 0.75, 16
+RECALL = 0.95
 #: Vectors of a leaf that one block holds.
 BLOCK = 4096
 
@@ -97,14 +99,14 @@ def kmeans(x: np.ndarray, k: int, r: np.random.Generator) -> tuple[np.ndarray, n
     return centres[used], best
 
 
-def grow(x: np.ndarray) -> Tree:
-    """From unit vectors, one at least."""
+def grow(x: np.ndarray, most: int = 48) -> Tree:
+    """From unit vectors, one at least; leaves are of most of them or fewer."""
     r = np.random.default_rng(SEED)
     centres, first, number, leaf = [x.mean(axis=0)], [0], [0], [-1]
     todo, leaves = [(0, np.arange(len(x)))], 0
     while todo:
         n, rows = todo.pop()
-        parts = kmeans(x[rows], min(BRANCHES, -(-len(rows) // LEAF)), r) if len(rows) > LEAF else None
+        parts = kmeans(x[rows], min(BRANCHES, -(-len(rows) // most)), r) if len(rows) > most else None
         if parts is None or len(parts[0]) < 2:
             leaf[n] = leaves
             leaves += 1
@@ -199,9 +201,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     draw = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
     sample = distinct.select("v").filter(draw < min(1.0, SAMPLE / n)).toArrow()
     base = _unit(_matrix(sample.column(0).combine_chunks()) if sample.num_rows else np.array([distinct.first()["v"]]))
-    tree = grow(base[np.lexsort(base.T[:4])])
+    tree = grow(base[np.lexsort(base.T[:4])], max(LEAF, int(len(base) / (LEAVES * n**0.5))))
     probes = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(CALIBRATION).collect()])
-    visits = visits_needed(tree, probes, _brute_force(distinct, probes, k), recall)
+    visits = visits_needed(tree, probes, [found[1:] for found in _brute_force(distinct, probes, k + 1)], recall)  # without the probe itself
     per_leaf = max(1, -(-n // (tree.leaves * BLOCK)))  # blocks of a leaf, from the mean; uneven leaves have uneven blocks
     sent = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
