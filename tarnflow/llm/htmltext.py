@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A scanner cuts the markup into blocks. What a page marks as menu, header, footer, sidebar, notice, advert, form or
-reader comments (by element, role, class or id) is left out; if the page has an article (or else a main part), so is
-all outside of it. Pass one classifies each block by length, link density and stop-word density: good, bad, or
+reader comments (by element, role, class or id) is left out; if the page has an article (or else a main part, or else
+a part whose class or id says that it is the content), so is all outside of it. Pass one classifies each block by length, link density and stop-word density: good, bad, or
 ambiguous. In pass two an ambiguous block takes the label of the nearest decided blocks before and after it. If these
 differ, it is good inside the article and takes the label of the nearer one, by the characters between, elsewhere; if
 there are none, it is good inside the article, and elsewhere where nothing else is.
@@ -44,6 +44,7 @@ MARKS = frozenset(
     "nav navbar navigation newsletter notice notices overlay pager paginate pagination paywall popup privacy promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription "
     "tags teaser toolbar topbar widget widgets".split()
 )
+CONTENT = frozenset("article content entry main post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 STOP_WORDS = frozenset(
@@ -80,7 +81,14 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if key in ("class", "id") and any(p.lower() in MARKS for p in _PARTS.findall(value)):
+        if key in ("class", "id") and any(p in MARKS and not (p == "header" and in_article) for p in map(str.lower, _PARTS.findall(value))):
+            return True
+    return False
+
+
+def _is_content(attributes: str) -> bool:
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id") and any(p.lower() in CONTENT for p in _PARTS.findall(m[2] or m[3] or m[4] or "")):
             return True
     return False
 
@@ -91,7 +99,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = breaks = link_depth = 0
     articles = mains = 0  # open ones
-    seen: list[str] = []  # kinds of parts that occurred
+    holder, held = "", 0  # element that holds the content by its class, and how many of its name are open in it
     kind: list[str] = []  # part that each block is in
     skipping, depth = "", 0  # element left out, and how many of its name are open in it
 
@@ -100,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                where = "article" if articles else "main" if mains else ""
+                where = "article" if articles else "main" if mains else "content" if held else ""
                 out.append(Block(text, links, bool(where)))
                 kind.append(where)
         parts, links, breaks = [], 0, 0
@@ -140,7 +148,7 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             link_depth = 0 if closing else 1
             continue
-        if not closing and name not in VOID and _left_out(name, attributes, bool(articles or mains)):
+        if not closing and name not in VOID and _left_out(name, attributes, bool(articles or mains or held)):
             if name in BLOCKS or name == "head":
                 cut()
             if not attributes.endswith("/"):
@@ -151,16 +159,19 @@ def blocks(page: str) -> list[Block]:
             link_depth = 0
             if name == "article":
                 articles = max(0, articles + (-1 if closing else 1))
-                seen.append("article")
-            elif name == "main" or not closing and 'role="main"' in attributes:
-                mains = 0 if closing else mains + 1
-                seen.append("main")
+            elif name == "main":
+                mains = 0 if closing else 1
+            elif held:
+                if name == holder:
+                    held += -1 if closing else 1
+            elif name in ("div", "section", "td") and not closing and (_is_content(attributes) or 'role="main"' in attributes):
+                holder, held = name, 1
     if at < len(page) and not skipping:
         parts.append(page[at:])
     cut()
-    for need in ("article", "main"):
-        if need in seen and any(k == need or need == "main" and k for k in kind):
-            return [b for b, k in zip(out, kind, strict=True) if k == need or need == "main" and k]
+    for wanted in (("article",), ("main",), ("content",)):
+        if any(k in wanted for k in kind):
+            return [b for b, k in zip(out, kind, strict=True) if k in wanted]
     return out
 
 
@@ -173,8 +184,8 @@ def first_pass(b: Block) -> str:
         return "bad"
     if n < SHORT:
         return "" if b.inside or not b.links else "bad"
-    words = [_EDGES.sub("", w) for w in b.text.lower().split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    words = [w for w in (_EDGES.sub("", w) for w in b.text.lower().split()) if w]
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH and n > LONG:
         return "good"
     if stops >= STOPS_LOW:

@@ -21,6 +21,14 @@ def test_pages_without_an_article_are_judged_by_their_blocks():
     assert h.extract(page).split("\n") == [LONG.strip(), "Yes.", LONG.strip()]
 
 
+def test_content_by_class_and_nested_parts():
+    page = f'<body><div class="site-header">Name</div><div id="main-content"><div class="post-header"><h2>Head</h2></div><div>Two <span>wo</span>rds</div><div class="sidebar">no<div>no</div></div><p>x</p></div><div>out</div></body>'
+    assert h.extract(page).split("\n") == ["Head", "Two words", "x"]
+    page = "<main><p>in</p><div role='search'>no</div><section hidden>no</section><p style='display: none'>no<p>more</main><p>out</p>"
+    assert h.extract(page).split("\n") == ["in", "more"]
+    assert h.extract("<article><p>a</p><article class='comment'><p>no</p></article><p>b</p></article><div class='content'>out</div>").split("\n") == ["a", "b"]
+
+
 def test_cut_off_and_broken_pages():
     assert h.extract("<article><p>one two</p><p>three &am") == "one two\nthree &am"
     assert h.extract("<article><p>one</p><p cla") == "one"

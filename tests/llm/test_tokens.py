@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -13,10 +14,15 @@ from .helpers import clashing, docs, rows
 VOCABULARY = default_vocabulary()
 
 
-def library_ids(text):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def library_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 @settings(deadline=None, max_examples=60)
