@@ -134,8 +134,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no digit of a cosine, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Of rows of q and c, summed in one fixed order."""
+    q, c = _scaled(q), _scaled(c)
     return (q * c).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((c * c).sum(axis=-1)))
 
 

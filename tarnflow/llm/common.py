@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch that goes to a Python worker; texts are long, so the default of 10,000 is too many.
@@ -50,12 +52,10 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about limit bytes of the column, one row at least."""
-    import numpy as np
-
     if not batch.num_rows:
         return
     text = batch.column(batch.schema.get_field_index(column))
-    sizes = np.array([x or 0 for x in pa.compute.binary_length(text).to_pylist()], dtype=np.int64)
+    sizes = np.array([x or 0 for x in pc.binary_length(text).to_pylist()], dtype=np.int64)
     group = np.cumsum(sizes) // limit
     cuts = np.flatnonzero(np.diff(group)) + 1
     at = 0
@@ -63,6 +63,3 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
         if to > at:
             yield batch.slice(at, to - at)
         at = to
-
-
-import pyarrow.compute  # noqa: E402,F401  makes pa.compute usable above
