@@ -33,7 +33,8 @@ from .common import arrow_rows, pieces, table
 SPACE = "▁"
 WORDS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 LONG = 256
-REMEMBERED = 400_000
+REMEMBERED = 900_000
+SIEVE = 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +58,7 @@ class Pieces:
         self.splits = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.normal)
         self.codes = np.zeros((n, self.most), dtype=np.uint32)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sieves: dict[int, np.ndarray] = {}  # by the top bits of a hash, whether a piece of the length may have it
         by: dict[int, list[int]] = {}
         for p, i in self.normal.items():
             self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), dtype="<u4")
@@ -67,22 +69,27 @@ class Pieces:
                 h = (h ^ self.codes[ids, j]) * _MIX
             order = np.argsort(h)
             self.by_length[k] = h[order], np.array(ids)[order]
+            self.sieves[k] = np.zeros(1 << SIEVE, bool)
+            self.sieves[k][h >> np.uint64(64 - SIEVE)] = True
 
     def edges(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end, piece of every piece within the words that codes holds; ends[i] is where the word of place i ends."""
         found = []
-        h = np.zeros(len(codes), dtype=np.uint64)
+        places, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         for k in range(1, self.most + 1):
-            h = h[: len(codes) - k + 1]
-            if not len(h):
+            if k > 1:
+                inside = ends[places] >= places + k
+                places, h = places[inside], h[inside]
+            if not len(places):
                 break
-            h = (h ^ codes[k - 1 :]) * _MIX
+            h = (h ^ codes[places + (k - 1)]) * _MIX
             if k not in self.by_length:
                 continue
             keys, ids = self.by_length[k]
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            at = np.flatnonzero((keys[place] == h) & (ends[: len(h)] >= np.arange(len(h)) + k))
-            piece = ids[place[at]]
+            sieved = np.flatnonzero(self.sieves[k][h >> np.uint64(64 - SIEVE)])
+            row = np.minimum(np.searchsorted(keys, h[sieved]), len(keys) - 1)
+            hit = keys[row] == h[sieved]
+            at, piece = places[sieved[hit]], ids[row[hit]]
             same = np.ones(len(at), bool)
             for j in range(k):
                 same &= self.codes[piece, j] == codes[at + j]
@@ -104,22 +111,28 @@ class Pieces:
             word, stop = np.repeat(np.arange(len(short)), sizes), np.cumsum(sizes)
             start, end, piece = self.edges(codes, stop[word])
             cuts = self._merge(word, start, end, piece, stop, len(codes)) if self.bpe else self._viterbi(start, end, piece, stop - sizes, stop)
-            self._pack(text, cuts, word, short, out)
+            self._pack(text, cuts, word, short, out, start * (self.most + 1) + end - start, piece)
         return out
 
-    def _pack(self, text: str, cuts: np.ndarray, word: np.ndarray, short: list[int], out: list[bytes]) -> None:
-        """cuts: starts of symbols in text, in order."""
-        bounds = [*cuts.tolist(), len(text)]
-        mine: list[list[int]] = [[] for _ in short]
-        for a, b, w in zip(bounds, bounds[1:], word[cuts].tolist(), strict=False):
-            symbol = text[a:b]
-            i = self.normal.get(symbol)
-            if i is None:
-                mine[w] += self._ids(symbol)
-            else:
-                mine[w].append(i)
-        for i, x in zip(short, mine, strict=True):
-            out[i] = struct.pack(f"<{len(x)}I", *x)
+    def _pack(self, text: str, cuts: np.ndarray, word: np.ndarray, short: list[int], out: list[bytes], spans: np.ndarray, piece: np.ndarray) -> None:
+        """cuts: starts of symbols in text, in order; spans and piece: the edges, as start * (most + 1) + length."""
+        ends = np.append(cuts[1:], len(text))
+        order = np.argsort(spans)
+        spans, piece = spans[order], piece[order]
+        size = ends - cuts
+        wanted = np.where(size <= self.most, cuts * (self.most + 1) + size, -1)
+        row = np.minimum(np.searchsorted(spans, wanted), max(0, len(spans) - 1))
+        known = spans[row] == wanted if len(spans) else np.zeros(len(cuts), bool)
+        ids = np.where(known, piece[row], 0).astype("<u4").tobytes() if len(spans) else b""
+        owner = word[cuts]
+        bounds = np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
+        odd = set(owner[~known].tolist())
+        for w, (i, a, b) in enumerate(zip(short, bounds, bounds[1:], strict=False)):
+            if w not in odd:
+                out[i] = ids[4 * a : 4 * b]
+                continue
+            mine = [x for c, e in zip(cuts[a:b].tolist(), ends[a:b].tolist(), strict=True) for x in self._ids(text[c:e])]
+            out[i] = struct.pack(f"<{len(mine)}I", *mine)
 
     def _ids(self, symbol: str) -> list[int]:
         i = self.normal.get(symbol)

@@ -55,13 +55,15 @@ def unigram(vocabulary):
     for w, i in p.normal.items():
         p.codes[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), "<u4")
         by.setdefault(len(w), []).append(i)
-    p.by_length = {}
+    p.by_length, p.sieves = {}, {}
     for k, ids in by.items():
         h = np.zeros(len(ids), np.uint64)
         for j in range(k):
             h = (h ^ p.codes[ids, j]) * pl._MIX
         order = np.argsort(h)
         p.by_length[k] = h[order], np.array(ids)[order]
+        p.sieves[k] = np.zeros(1 << pl.SIEVE, bool)
+        p.sieves[k][h >> np.uint64(64 - pl.SIEVE)] = True
     return p
 
 
