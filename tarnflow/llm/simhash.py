@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     found = components(links(distinct, partitions, distance)) if partitions else spark.createDataFrame([], "node long, root long")
     arrow_rows(spark)
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two plain exchanges can be split by AQE where a root has many fingerprints.
+    least = kept(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = kept(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "components")
     return each.join(named, each["fp"] == named["fp_"]).select("doc_id", "fp", "component_id")
 
