@@ -33,23 +33,32 @@ TILE = 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle, in the order of the text."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     flat = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     starts = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1, out=starts[1:])
     ends = (starts[min(shingle, len(words)) :] - 1).tolist()
-    starts = starts.tolist()
+    return np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends, strict=True)), dtype="<u8", count=n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 65_536):
-        h = np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[at : min(n, at + 65_536)], ends[at : min(n, at + 65_536)], strict=False)), dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -201,27 +210,32 @@ class Forest:
             self.up.setdefault(min(a, b), min(a, b))
 
 
+def join_pairs(i: np.ndarray, j: np.ndarray, names_l: np.ndarray, names_r: np.ndarray, forest: Forest) -> None:
+    """Joins names_l[i] and names_r[j]. Of the pairs only those go to the forest that join a row's or column's first partner,
+    then those that are still apart, so that a dense group costs no Python step for each pair."""
+    while len(i):
+        _, first_i = np.unique(i, return_index=True)
+        _, first_j = np.unique(j, return_index=True)
+        some = np.union1d(first_i, first_j) if len(i) > 64 else np.arange(len(i))
+        for a, b in zip(names_l[i[some]].tolist(), names_r[j[some]].tolist(), strict=True):
+            forest.join(a, b)
+        if len(some) == len(i):
+            break
+        (rows, back_i), (columns, back_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        root_i = np.array([forest.find(x) for x in names_l[rows].tolist()])
+        root_j = np.array([forest.find(x) for x in names_r[columns].tolist()])
+        apart = root_i[back_i] != root_j[back_j]
+        i, j = i[apart], j[apart]
+
+
 def near(left: np.ndarray, right: np.ndarray, distance: int, forest: Forest) -> None:
-    """Joins all of left and right that differ in 1 to distance bits. Of the pairs found only those go to the forest that
-    join a row's or column's first partner, then those that are still apart, so that a dense group costs no Python step for each pair."""
+    """Joins all of left and right that differ in 1 to distance bits."""
     step = max(1, 2_000_000 // max(1, len(right)))
     names_l, names_r = left.view(np.int64), right.view(np.int64)
     for at in range(0, len(left), step):
         d = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
         i, j = np.nonzero((d - np.uint8(1)) < distance)
-        while len(i):
-            _, first_i = np.unique(i, return_index=True)
-            _, first_j = np.unique(j, return_index=True)
-            some = np.union1d(first_i, first_j) if len(i) > 64 else np.arange(len(i))
-            for a, b in zip(names_l[i[some] + at].tolist(), names_r[j[some]].tolist(), strict=True):
-                forest.join(a, b)
-            if len(some) == len(i):
-                break
-            (rows, back_i), (columns, back_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-            root_i = np.array([forest.find(x) for x in names_l[rows + at].tolist()])
-            root_j = np.array([forest.find(x) for x in names_r[columns].tolist()])
-            apart = root_i[back_i] != root_j[back_j]
-            i, j = i[apart], j[apart]
+        join_pairs(i, j, names_l[at : at + step], names_r, forest)
 
 
 def links(distinct: DataFrame, partitions: list[tuple[list[int], int]], distance: int) -> DataFrame:
@@ -296,11 +310,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return each.join(named, each["fp"] == named["fp_"]).select("doc_id", "fp", "component_id")
 
 
-def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs with one document of each component, that with the least doc_id, and one row of it. The others' ids
-    are few beside the texts, so it is these that the texts are held against. Rows without a doc_id stay."""
-    spark = docs.sparkSession
-    found = near_duplicates(docs, distance, shingle)
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs with one document of each component of found (doc_id, component_id), that with the least doc_id, and one
+    row of it. The others' ids are few beside the texts, so it is these that the texts are held against. Rows without a doc_id stay."""
     gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
     stay = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1)
@@ -310,6 +322,10 @@ def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> D
     return first.unionByName(stay.filter(F.col("doc_id").isNull()))
 
 
+def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    return without_copies(docs, near_duplicates(docs, distance, shingle))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
