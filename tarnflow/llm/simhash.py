@@ -61,16 +61,18 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return fingerprint_of(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of each of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) of each of docs (doc_id, text); keyed: text_key too, the text's XXH64."""
     arrow_rows(docs.sparkSession)
+    names = ["doc_id", "fp", *(["text_key"] if keyed else [])]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    rows = docs.select("doc_id", "text", *([F.xxhash64("text").alias("text_key")] if keyed else []))
+    return rows.mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long" + (", text_key long" if keyed else ""))
 
 
 # The plan: partitions and thresholds
@@ -294,10 +296,11 @@ def links(distinct: DataFrame, partitions: list[tuple[list[int], int]], distance
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id of all that links reach) of each of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id of all that links reach) of each of docs (doc_id, text); keyed: text_key and
+    root too, which names the component where repeated doc_ids give two of them the same component_id."""
     spark = docs.sparkSession
-    each = kept(fingerprints(docs, shingle), "fingerprints")
+    each = kept(fingerprints(docs, shingle, keyed), "fingerprints")
     distinct = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     arrow_rows(spark, 10_000)
     partitions = plan(distinct, distance)
@@ -306,24 +309,29 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Written first: a join of two plain exchanges can be split by AQE where a root has many fingerprints.
     least = kept(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = kept(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "components")
-    return each.join(named, each["fp"] == named["fp_"]).select("doc_id", "fp", "component_id")
+    more = ["root"] if keyed else []
+    named = kept(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id", *more), "components")
+    return each.join(named, each["fp"] == named["fp_"]).select("doc_id", "fp", "component_id", *(["text_key", "root"] if keyed else []))
 
 
 def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs with one document of each component of found (doc_id, component_id), that with the least doc_id, and one
-    row of it. The others' ids are few beside the texts, so it is these that the texts are held against. Rows without a doc_id stay."""
-    gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    stay = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """The rows of docs with one document of each component of found (doc_id, text_key, root, component_id), that with the least
+    doc_id, and one row of it. The others are few beside the texts, so it is these that the texts are held against, by doc_id
+    and text: a doc_id may have texts of several components, each of which is judged for itself. Rows without a doc_id stay."""
+    gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    stay = docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
     ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1)
     if not ids:
         return stay
-    first = stay.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    parts = kept(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("root").alias("_root")).distinct(), "parts")
+    named = stay.filter(F.col("doc_id").isNotNull())
+    named = named.join(parts, (named["doc_id"] == parts["_id"]) & (F.xxhash64(named["text"]) == parts["_key"]))
+    first = named.dropDuplicates(["doc_id", "_root"]).select(*docs.columns)
     return first.unionByName(stay.filter(F.col("doc_id").isNull()))
 
 
 def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    return without_copies(docs, near_duplicates(docs, distance, shingle))
+    return without_copies(docs, near_duplicates(docs, distance, shingle, keyed=True))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 from corpus_pipeline import near_dedup
-from tarnflow.llm import similar
+from tarnflow.llm import simhash, similar
 
 from .helpers import clashing, docs, prose, rows
 from .test_simhash import corpus
@@ -73,3 +73,13 @@ def test_pipeline_stage_drops_copies_of_similarity_four_fifths(spark):
     assert sorted(x for x in stay if x is not None) == sorted({w for w in groups(data) if w is not None})
     assert stay.count(None) == 1
     assert near_dedup(spark, docs(spark, []), "").collect() == []
+
+
+@pytest.mark.parametrize("keep", [similar.keep, simhash.keep])
+def test_texts_of_a_repeated_id_are_judged_each_for_itself(spark, keep):
+    r = random.Random(7)
+    a, b, c, d = (prose(r, 150) for _ in range(4))
+    # 2 has a copy of 1 and a text of its own; 5 is the least of two groups; 8 has the same text twice.
+    data = [(1, a), (2, a.upper()), (2, b), (5, c), (5, d), (6, c.upper()), (7, d.upper()), (8, "x y z " + b[::-1]), (8, "x y z " + b[::-1])]
+    stay = keep(docs(spark, [(i, t, "en", "a", 0) for i, t in data])).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in stay) == sorted([(1, a), (2, b), (5, c), (5, d), (8, data[-1][1])])
