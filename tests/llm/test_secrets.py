@@ -68,3 +68,30 @@ def test_masks(spark):
     assert texts[4001][0] == "[secret] xAKIA12 [secret] deadbeef [secret]"
     assert texts[5][0] == corpus()[5][1]
     assert all(n is None or n == len(t) for t, n in texts.values())
+
+
+def drawn(r, letters, n, low, high):
+    """A random string whose p-value is in [low, high)."""
+    while True:
+        t = "".join(r.choice(letters) for _ in range(n))
+        if s.encoding_of(t) == s.encoding_of(letters) and low <= s.randomness(t, s.encoding_of(t)) < high:
+            return t
+
+
+def test_random_strings_alone_in_their_band_are_found(spark):
+    r = random.Random(3)
+    tokens = [drawn(r, LETTERS, 44, 0.1, 0.5), drawn(r, s.ENCODINGS["base32"], 60, 0.1, 0.5), drawn(r, s.ENCODINGS["base64"], 90, 0.1, 0.5)]
+    data = [(i, f"{prose(r, 20)} {t} {prose(r, 5)}", "en", "a", 0) for i, t in enumerate(tokens)] + [(9, f"{prose(r, 20)} {'ab' * 22} end", "en", "a", 0)]
+    assert sorted((x["doc_id"], x["n_random"]) for x in s.scan(docs(spark, data)).collect()) == [(0, 1), (1, 1), (2, 1), (9, 0)]
+    assert all(t not in x["text"] for x in s.masked(docs(spark, data)).collect() for t in tokens)
+    # With neighbours: a band without any p-value in the right half has the cut of the pool.
+    other = corpus() + [(5000, f"{prose(r, 9)} {drawn(r, LETTERS, 64, 0.1, 0.5)} end", "en", "a", 0)]
+    assert {x["doc_id"]: x["n_random"] for x in s.scan(docs(spark, other)).collect()}[5000] == 1
+
+
+def test_many_tokens_left_of_the_middle_have_no_cut():
+    import numpy as np
+
+    bins = np.zeros(s.P_BINS)
+    bins[:16] = [500, 20, 10, 6, 4, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1]
+    assert s.cuts_of({"mixed:20": bins}) == {}
