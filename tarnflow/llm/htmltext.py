@@ -57,6 +57,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.2, 0.3
 LINKS = 0.5
+#: Kana, Han and Hangul: characters of scripts that take about a third of the characters for the same text.
+_WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -175,7 +177,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
+def first_pass(b: Block, long: int = 0) -> str:
+    """With long, stop words don't count: a block of so many characters (wide ones count for three) is good by its link density alone."""
     n = len(b.text)
     density = min(1.0, b.links / n)
     if density > LINKS:
@@ -183,7 +186,10 @@ def first_pass(b: Block) -> str:
     if not b.inside and (n < 400 and "©" in b.text):
         return "bad"
     if n < SHORT:
-        return "" if b.inside or not b.links else "bad"
+        if not long or n + 2 * len(_WIDE.findall(b.text)) < SHORT:
+            return "" if b.inside or not b.links else "bad"
+    if long:
+        return "good" if n + 2 * len(_WIDE.findall(b.text)) >= long else ""
     words = [w for w in (_EDGES.sub("", w) for w in b.text.lower().split()) if w]
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH and n > LONG:
@@ -225,6 +231,12 @@ def extract(page: str | None) -> str:
     found = blocks(page)
     for b in found:
         b.label = first_pass(b)
+    # The stop words are of four languages. A page of another has no good block: then length and links decide.
+    for long in (LONG, SHORT):
+        if any(b.inside or b.label == "good" for b in found):
+            break
+        for b in found:
+            b.label = first_pass(b, long)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 

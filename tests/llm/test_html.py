@@ -21,6 +21,18 @@ def test_pages_without_an_article_are_judged_by_their_blocks():
     assert h.extract(page).split("\n") == [LONG.strip(), "Yes.", LONG.strip()]
 
 
+def test_pages_of_other_languages_without_an_article():
+    frame = "<body><div><a href=1>{0}</a> <a href=2>{0}</a></div><p>{1}</p><p>{2}</p><div><a href=3>{0}</a></div><div>© 2020 {0}</div></body>"
+    russian = "Кошка сидела на коврике и смотрела в окно, где медленно падал снег и загорались первые огни. "
+    for nav, one, two in (
+        ("главная страница", russian * 4, russian * 3),
+        ("главная страница", russian.strip(), russian.strip() + " Вечер."),
+        ("首頁", "貓坐在墊子上望著窗外，雪慢慢地落下，街上的燈一盞一盞亮了起來，屋裡很安靜。" * 2, "孩子們在院子裡堆了一個很大的雪人，然後回家喝熱茶，聽祖母講很久以前的故事。" * 2),
+    ):
+        assert h.extract(frame.format(nav, one, two)).split("\n") == [one.strip(), two.strip()]
+    assert h.extract(f"<body><div><a href=1>Home</a></div><p>{LONG}</p><div>{russian}</div></body>") == LONG.strip()
+
+
 def test_content_by_class_and_nested_parts():
     page = f'<body><div class="site-header">Name</div><div id="main-content"><div class="post-header"><h2>Head</h2></div><div>Two <span>wo</span>rds</div><div class="sidebar">no<div>no</div></div><p>x</p></div><div>out</div></body>'
     assert h.extract(page).split("\n") == ["Head", "Two words", "x"]
