@@ -20,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one, but only
+    if all runs on this machine: on a cluster each executor would write to a disk of its own, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         at = f"file://{tempfile.mkdtemp(prefix='tarnflow-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -47,6 +51,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Plans read this setting of the session when they run, so it stays as the operators leave it: small. Raised only around what runs at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
