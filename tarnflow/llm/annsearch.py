@@ -3,8 +3,9 @@
 The tree is fitted on the driver on about SAMPLE distinct vectors, and every vector is sent down to a leaf. A query
 walks the tree through a priority queue, nearest centre first, and visits the next leaves in that order. How many it
 visits is widened until the recall on CALIBRATION vectors, against brute force over all vectors, reaches RECALL (all
-leaves reach 1). Visits and vectors meet by leaf; a leaf that holds many vectors is cut into blocks, which its visits
-all meet. Every leaf gives its nearest few with exact cosines in double precision, which are merged by query.
+leaves reach 1). Visits and vectors meet by leaf; vectors and visits of a leaf are cut into blocks of about BLOCK by the leaf's
+own counts, and each block of vectors meets each block of visits in a cell of its own. A cell gives the nearest few of
+each query with exact cosines in double precision, ties to the smaller id, and the nearest of all cells are ranked.
 
 Equal vectors are searched once: they keep their few smallest ids, so that copies, ties and hot vectors cost no more
 than a row, and equal queries share one search. Vectors that are null, empty, zero, or hold null or non-finite
@@ -17,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ BRANCHES, ROUNDS, SEED = 16, 8, 11
 #: Leaves grow in number with the root of the vectors, so that neither visits nor a visit's work grow as fast as these; LEAF is the fewest of the sample that a leaf is fitted on.
 LEAVES, LEAF = 0.75, 16
 RECALL = 0.95
-#: Vectors of a leaf that one block holds.
-BLOCK = 4096
+#: Vectors of a leaf that one block holds, visits likewise; and cosines that a task holds at once.
+BLOCK, HELD = 16_384, 4_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -147,13 +149,14 @@ def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _nearest(q: np.ndarray, c: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """(query, candidate, cosine) of each query's k nearest, ties to the smaller id; all within rounding of the k-th are weighed exactly."""
-    near = _unit(q) @ _unit(c).T
-    for i in range(len(q)):
-        row = near[i]
-        some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-12) if len(row) > k else np.arange(len(row))
-        exact = _cosines(q[i], c[some])
-        for j in np.lexsort((least[some], -exact))[:k]:
-            yield i, int(some[j]), float(exact[j])
+    unit, other = _unit(q), _unit(c).T
+    step = max(1, HELD // max(1, len(c)))
+    for at in range(0, len(q), step):
+        for i, row in enumerate(unit[at : at + step] @ other, at):
+            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-12) if len(row) > k else np.arange(len(row))
+            exact = _cosines(q[i], c[some])
+            for j in np.lexsort((least[some], -exact))[:k]:
+                yield i, int(some[j]), float(exact[j])
 
 
 def _brute_force(distinct: DataFrame, probes: np.ndarray, k: int) -> list[list[np.ndarray]]:
@@ -210,7 +213,6 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     tree = grow(base[np.lexsort(base.T[:4])], max(LEAF, int(len(base) / (LEAVES * n**0.5))))
     probes = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(CALIBRATION).collect()])
     visits = visits_needed(tree, probes, [found[1:] for found in _brute_force(distinct, probes, k + 1)], recall)  # without the probe itself
-    per_leaf = max(1, -(-n // (tree.leaves * BLOCK)))  # blocks of a leaf, from the mean; uneven leaves have uneven blocks
     sent = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
     def to_leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,39 +223,39 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
 
     def to_visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, q in enumerate(_unit(_matrix(b.column(0)))) if b.num_rows else ():
-                leaves = []
-                for leaf in sent.value.walk(q):
-                    leaves.append(leaf)
-                    if len(leaves) >= visits:
-                        break
-                one = b.slice(i, 1)
-                take = pa.array(np.zeros(len(leaves), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), *(c.take(take) for c in one.columns)], names=["leaf", *b.schema.names])
-
-    block = F.pmod(F.xxhash64("v"), F.lit(per_leaf)).cast("int")
-    held = distinct.mapInArrow(to_leaf, "leaf long, v array<double>, ids array<long>").withColumn("block", block)
+            leaves = [list(islice(sent.value.walk(q), visits)) for q in _unit(_matrix(b.column(0)))] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int64()))], names=[*b.schema.names, "leaves"])
+
+    held = kept(distinct.mapInArrow(to_leaf, "leaf long, v array<double>, ids array<long>"), "leaves")
     asked = rows.filter(F.col("id") % every == 0)
-    queries = kept(asked.groupBy("v").agg(F.min("id").alias("qkey")), "queries")
-    visiting = queries.select("v", "qkey").mapInArrow(to_visits, "leaf long, v array<double>, qkey long").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(per_leaf - 1))))
+    queries = kept(asked.groupBy("v").agg(F.min("id").alias("qkey")).mapInArrow(to_visits, "v array<double>, qkey long, leaves array<long>"), "queries")
+    visiting = queries.select("v", "qkey", F.explode("leaves").alias("leaf"))
+    # As many rows as the tree has leaves, which the sample bounds.
+    blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    cells = F.broadcast(kept(blocks(held, "of_held").join(blocks(visiting, "of_visits"), "leaf"), "cells"))
+    mine = lambda key, n: F.pmod(F.xxhash64(key, F.lit(2)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = held.join(cells, "leaf").select("leaf", mine("v", "of_held").alias("block"), each("of_visits").alias("visit"), "v", "ids")
+    visiting = visiting.join(cells, "leaf").select("leaf", each("of_held").alias("block"), mine("qkey", "of_visits").alias("visit"), "v", "qkey")
 
     def meet(key: tuple, candidates: pa.Table, asking: pa.Table) -> pa.Table:
-        schema = pa.schema([("qkey", pa.int64()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
+        schema = pa.schema([("qkey", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())])
         if not candidates.num_rows or not asking.num_rows:
             return schema.empty_table()
         c, q = (_matrix(t.column("v").combine_chunks()) for t in (candidates, asking))
         ids, qkeys = candidates.column("ids").to_pylist(), asking.column("qkey").to_pylist()
-        found: list[list[dict]] = [[] for _ in qkeys]
+        found: list[list[tuple[float, int]]] = [[] for _ in qkeys]
         for i, j, s in _nearest(q, c, np.array([x[0] for x in ids]), k + 1):
-            found[i] += [{"score": s, "vec_id": x} for x in ids[j]]
-        return pa.table([pa.array(qkeys, pa.int64()), pa.array([f[: 2 * (k + 1)] for f in found], schema.field("found").type)], schema=schema)
-
-    met = held.groupBy("leaf", "block").cogroup(visiting.groupBy("leaf", "block")).applyInArrow(meet, "qkey long, found array<struct<score:double,vec_id:long>>")
-    # Each query gathers its visits' few nearest: a bounded number of short lists.
-    best = met.groupBy("qkey").agg(F.flatten(F.collect_list("found")).alias("all"))
-    by_score = F.array_sort("all", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0))
-    best = best.select("qkey", F.slice(by_score, 1, k + 1).alias("best"))
-    named = asked.join(queries.withColumnRenamed("v", "qv"), F.col("v") == F.col("qv")).select(F.col("id").alias("query_id"), "qkey")
+            found[i] += [(-s, x) for x in ids[j]]
+        rows = [(q, -s, x) for q, f in zip(qkeys, found, strict=True) for s, x in sorted(f)[: k + 1]]
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    by_cell = ("leaf", "block", "visit")
+    met = held.groupBy(*by_cell).cogroup(visiting.groupBy(*by_cell)).applyInArrow(meet, "qkey long, score double, vec_id long")
+    place = F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))
+    best = met.withColumn("place", place).filter(F.col("place") <= k + 1)
+    best = best.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))  # k + 1 of each query
+    named = asked.join(queries.select(F.col("v").alias("qv"), "qkey"), F.col("v") == F.col("qv")).select(F.col("id").alias("query_id"), "qkey")
     out = named.join(best, "qkey").select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("place", "x"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 

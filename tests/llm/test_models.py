@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from tarnflow.llm import annsearch, classifier, langid
 
 from .helpers import clashing, docs, prose, rows
@@ -171,3 +172,34 @@ def test_tree_walk_visits_every_leaf_once():
     leaves = list(tree.walk(x[0]))
     assert sorted(leaves) == list(range(tree.leaves)) and tree.leaves > 20
     assert set(tree.assign(x).tolist()) <= set(leaves)
+
+
+def test_ties_of_different_vectors_go_by_id(spark):
+    v = [1.0, 2.0, 0.5, -1.0, 0.25, 3.0, 1.5, 0.125]
+    data = [(0, v)] + [(101 + i, [x * (1, 2, 4)[i % 3] for x in v]) for i in range(18)]
+    got = annsearch.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), every=50).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [101, 102, 103, 104, 105] and len({r["score"] for r in got}) == 1
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_on_the_tables(spark, sf):
+    t = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.array(t["embedding"].tolist(), dtype=np.float64)
+    ids = t["vec_id"].to_numpy()
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    got = annsearch.QUERIES["op8_ann_search"](spark, f"/root/testdata/sf{sf}")
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    queries = np.flatnonzero(ids % 50 == 0)
+    assert set(found) == set(ids[queries].tolist())
+    hits = []
+    for q in queries:
+        s = unit @ unit[q]
+        s[q] = -2
+        mine = found[int(ids[q])]
+        assert len(mine) == 5 and int(ids[q]) not in mine
+        hits.append(len({int(i) for i in ids[np.lexsort((ids, -s))[:5]]} & set(mine)))
+        assert all(abs(s[np.flatnonzero(ids == i)[0]] - score) < 1e-12 for i, score in mine.items())
+    assert np.mean(hits) / 5 >= 0.9
