@@ -50,6 +50,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(at)
 
 
+def free_name(df: DataFrame, name: str = "made") -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Plans read this setting of the session when they run, so it stays as the operators leave it: small. Raised only around what runs at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

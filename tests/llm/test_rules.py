@@ -50,17 +50,86 @@ def test_kept_rows_have_the_columns_of_docs(spark):
     assert q.keep(docs(spark, [])).collect() == [] and q.verdicts(docs(spark, [])).collect() == []
 
 
-def test_estimates_follow_the_concentration_steps(spark):
-    """The histogram's nearest share is that of whole bins; against a sort of all distances the centres are close and the outliers are shut out."""
+def plain_mcd(x):
+    """The least determinant over the starts, with all distances sorted; then the reweighting."""
+    floors = np.diag(np.array(list(q.FLOORS.values())) ** 2)
+    quart = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    centre, spread = quart[1], np.maximum((quart[2] - quart[0]) / 1.349, list(q.FLOORS.values()))
+    z = (x - centre) / spread
+    norm = np.sqrt((z * z).sum(axis=1))
+    corr = lambda y: np.corrcoef(y.T) * 0.999 + 0.001 * np.eye(q.P)
+    half = x[np.argsort(norm, kind="stable")[: int(np.ceil(q.H * len(x)))]]
+    scatter = lambda y, share: np.cov(y.T, bias=True) * q.consistency(share) + floors
+    begin = [(centre, corr(y) * np.outer(spread, spread) + floors) for y in (np.tanh(z), z / np.maximum(norm, 1e-6)[:, None])]
+    begin += [(half.mean(axis=0), scatter(half, q.H)), (centre, np.diag(spread**2) + floors)]
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for m, c in begin:
+        for _ in range(q.STEPS):
+            near = x[np.argsort(far(m, c), kind="stable")[: int(np.ceil(q.H * len(x)))]]
+            m, c = near.mean(axis=0), scatter(near, q.H)
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    near = x[far(*best[1:]) <= q.quantile(q.REWEIGHTED, q.P)]
+    m, c = near.mean(axis=0), scatter(near, q.REWEIGHTED)
+    return m, c, far(m, c), best[0]
+
+
+def test_least_determinant_by_sorted_distances(spark):
+    """Histograms take whole bins, so shares differ by a little. A tight cluster of a third of the pool is shut out; so is a masked one along a correlation."""
     r = np.random.default_rng(0)
-    x = r.normal(0, 1, (2000, q.P)) * [1, 0.2, 0.1, 0.1, 0.1]
-    x[:300] += 8
-    stats = spark.createDataFrame([("p", *map(float, v)) for v in x], "pool string, " + ", ".join(f"{n} double" for n in q.NAMES))
-    got = q.estimates(stats).collect()[0]
-    clean = x[300:]
-    assert np.abs(np.array(got["centre"]) - clean.mean(axis=0)).max() < 0.1
-    cov = np.cov(clean.T) + np.diag(np.array(list(q.FLOORS.values())) ** 2)
-    assert np.allclose(np.linalg.inv(np.array(got["precision"]).reshape(q.P, q.P)).diagonal(), cov.diagonal(), rtol=0.25)
+    data = {}
+    x = r.normal(0, 1, (3000, q.P)) * [1, 0.2, 0.1, 0.1, 0.1]
+    x[:, 1] += 0.15 * x[:, 0]
+    data["third"] = x.copy()
+    data["third"][:1000] = [4.0, 2.0, 1.0, 1.0, 1.0] + r.normal(0, 0.05, (1000, q.P))
+    data["few"] = x.copy()
+    data["few"][:40] += 8
+    data["clean"] = x.copy()
+    data["constant"] = np.ones((200, q.P))
+    rows_ = [(k, *map(float, v)) for k, xs in data.items() for v in xs]
+    stats = spark.createDataFrame(rows_, "pool string, " + ", ".join(f"{n} double" for n in q.NAMES))
+    got = {r["pool"]: r["estimate"] for r in q.estimates(stats).collect()}
+    assert got.keys() == data.keys()
+    for k, xs in data.items():
+        m, c, want, _ = plain_mcd(xs)
+        centre, precision = np.array(got[k]["centre"]), np.array(got[k]["precision"]).reshape(q.P, q.P)
+        have = np.einsum("ij,jk,ik->i", xs - centre, precision, xs - centre)
+        assert np.abs(centre - m).max() < 0.1 and ((have <= q.CUT) == (want <= q.CUT)).mean() > 0.999, k
+    out = {"third": 1000, "few": 40, "clean": 0, "constant": 0}
+    for k, n in out.items():
+        centre, precision = np.array(got[k]["centre"]), np.array(got[k]["precision"]).reshape(q.P, q.P)
+        have = np.einsum("ij,jk,ik->i", data[k] - centre, precision, data[k] - centre)
+        assert (have[:n] > q.CUT).all() and (have[n:] <= q.CUT).all(), k
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every verdict of a corpus of one pool for each language and source, from plain counts and plain_mcd."""
+    data = corpus()[:412]
+    got = {r["doc_id"]: r for r in q.verdicts(docs(spark, data)).collect()}
+    counts = {i: plain_counts(t) for i, t, *_ in data}
+
+    def statistics(i):
+        words, chars, symbols, dup, repeats, lines = counts[i]
+        return [np.log1p(words), np.log((chars + 250) / (words + 50)), (symbols / max(chars, 1)) ** 0.5, (dup / max(lines, 1)) ** 0.5, repeats / max(words, 1)]
+
+    for pool in {(d[2], d[3]) for d in data}:
+        mine = [d[0] for d in data if (d[2], d[3]) == pool]
+        assert len(mine) >= q.POOL_ROWS
+        far = plain_mcd(np.array([statistics(i) for i in mine]))[2]
+        for i, d2 in zip(mine, far, strict=True):
+            failed = counts[i][0] < 20 or 100 * counts[i][4] > 30 * counts[i][0]
+            assert got[i]["kept"] == (not failed and d2 <= q.CUT) or abs(d2 / q.CUT - 1) < 0.3
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    names = [*q.COUNTS, *q.NAMES, "pool", "centre", "precision", "estimate", "made", "made_", "of_lang", "of_source", "of_pool", "distance", "kept", "base_failed", "n", "bin", "norm", "start", "way", "score"]
+    from pyspark.sql import functions as F
+
+    df = docs(spark, corpus()).withColumns({n: F.lit(7) for n in names if n != "n_chars"})
+    kept = q.keep(df)
+    assert kept.columns == df.columns and kept.count() == q.keep(docs(spark, corpus())).count()
+    assert {tuple(r) for r in kept.select(*[n for n in names]).distinct().collect()} == {(7,) * len(names)}
 
 
 def test_chi_squared_quantiles():
