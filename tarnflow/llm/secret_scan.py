@@ -6,10 +6,12 @@ the characters, and tests the characters' values for chi-squared uniformity over
 the middle, and for serial correlation. The three p-values are combined by Fisher's method. Random strings have uniform
 p-values; prose, paths and identifiers have p-values near zero, the more so the longer they are. So the control is by
 length: in each encoding and band of lengths the corpus-wide histogram of p-values (pre-aggregated, a row for each bin)
-tells from its right half how many random strings there are, and the least cut is taken beyond which at most FALSE_SHARE
-of the tokens are not such. A band with too few random strings for that is pooled with its neighbours of the same
-encoding until there are enough; if the encoding has none in the right half of its histogram, but no more beyond ALONE_P
-than chance would put all to the left, the cut is ALONE_P. A band whose tokens are never told apart adds nothing.
+is compared with its own mirror image: what lies left of 0.5 beyond a cut in excess of what lies as far right of it is no
+random string. The least cut is taken for which this excess, plus one and half its standard deviation, is at most
+FALSE_SHARE of all beyond the cut; the added one keeps the share in small counts, too. A band with fewer than ENOUGH
+tokens right of 0.5 is pooled with its neighbours of the same encoding until there are as many. An encoding that has
+fewer in all has the fixed cut ALONE_P, if half as many tokens at most lie below it as beyond, and no more (or ALONE at
+most) left of 0.5 than right of it; or else 0.5. A band whose tokens are never told apart adds nothing.
 
 Null and empty texts have no spans and the digest of the empty string. Null or repeated doc_ids are rows like any
 others, an empty table gives none, and columns other than doc_id and text are not read. Offsets are code points, ends
@@ -52,8 +54,8 @@ ENCODINGS = {
 }
 P_BINS, BANDS = 100, 64
 FALSE_SHARE = 0.1
-#: Tokens in the right half that a histogram needs for itself; the fixed cut's p-value, and the most tokens it may add (all of so many are left of 0.5 once in 16 times).
-ENOUGH, ALONE_P, ALONE = 5, 0.1, 4
+#: Tokens in the right half that a histogram needs for itself; the fixed cut's p-value, and the most tokens it may add where none are in the right half (all of so many are left of 0.5 once in 16 times).
+ENOUGH, ALONE_P, ALONE = 12, 0.1, 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -184,31 +186,32 @@ def cuts(found: DataFrame) -> dict[str, int]:
 
 
 def cut_of(bins: np.ndarray) -> int | None:
-    flat = bins[P_BINS // 2 :].sum() / (P_BINS - P_BINS // 2)  # random strings in each bin
-    if flat <= 0:
-        return None
-    # Chance alone fills bins unevenly: two standard deviations are granted.
-    for low in range(1, P_BINS // 2 + 1):
-        many, due = bins[low:].sum(), flat * (P_BINS - low)
-        if many - due <= FALSE_SHARE * many + 2 * math.sqrt(max(due, 1)) and bins[low] <= flat + 3 * math.sqrt(flat) + 1:
+    """The least bin with at most FALSE_SHARE of false tokens at or beyond it, by the histogram's mirror image."""
+    half = P_BINS // 2
+    right = bins[half:].sum()
+    for low in range(1, half + 1):
+        left, mirror = bins[low:half].sum(), bins[half : P_BINS - low].sum()
+        if max(0.0, left - mirror) + 1 + 0.5 * math.sqrt(left + mirror) <= FALSE_SHARE * (right + left):
             return low
     return None
 
 
 def cuts_of(seen: dict[str, np.ndarray]) -> dict[str, int]:
     out = {}
-    alone = int(ALONE_P * P_BINS)
+    half, alone = P_BINS // 2, int(ALONE_P * P_BINS)
     for key, bins in seen.items():
         encoding, at = key.rsplit(":", 1)
         pool, reach = bins, 0
-        while pool[P_BINS // 2 :].sum() < ENOUGH and reach < BANDS:
+        while pool[half:].sum() < ENOUGH and reach < BANDS:
             reach += 1
             pool = pool + sum(seen[k] for k in {f"{encoding}:{int(at) - reach}", f"{encoding}:{int(at) + reach}"} if k in seen)
-        if not pool[P_BINS // 2 :].any():
-            cut = alone if pool[alone:].sum() <= ALONE else None
+        low, left, right = pool[:alone].sum(), pool[alone:half].sum(), pool[half:].sum()
+        if right >= ENOUGH:
+            cut = cut_of(pool)
+        elif 2 * low <= left + right and left <= max(right, ALONE):
+            cut = alone
         else:
-            # Few strings of its own may still tell a band apart where its neighbours can't.
-            cut = min((c for c in (cut_of(bins), cut_of(pool)) if c is not None), default=None)
+            cut = half if right else None
         if cut is not None:
             out[key] = cut
     return out

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 from tarnflow.llm import secret_scan as s
 
 from .helpers import clashing, docs, prose, rows
@@ -90,8 +92,80 @@ def test_random_strings_alone_in_their_band_are_found(spark):
 
 
 def test_many_tokens_left_of_the_middle_have_no_cut():
-    import numpy as np
-
     bins = np.zeros(s.P_BINS)
     bins[:16] = [500, 20, 10, 6, 4, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1]
     assert s.cuts_of({"mixed:20": bins}) == {}
+
+
+def plain_randomness(token, encoding):
+    """The three tests and Fisher's sum, character by character."""
+    body = token.rstrip("=") or token
+    letters = s.ENCODINGS[encoding]
+    values, n, size = [max(0, letters.find(c)) for c in body], len(body), len(letters)
+    classes = max(2, min(size, n // 5))
+    chi = 0.0
+    for k in range(classes):
+        expected = sum(v * classes // size == k for v in range(size)) * n / size
+        chi += (sum(v * classes // size == k for v in values) - expected) ** 2 / expected
+    ps = [s.chi2_tail(chi, classes - 1)]
+    signs = [v >= size / 2 for v in values]
+    a, b = signs.count(True), signs.count(False)
+    if a and b:
+        runs = 1 + sum(x != y for x, y in zip(signs, signs[1:], strict=False))
+        mean = 2 * a * b / n + 1
+        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        ps.append(math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0)
+    else:
+        ps.append(2.0 ** (1 - n))
+    mean = sum(values) / n
+    power = sum((v - mean) ** 2 for v in values)
+    corr = sum((x - mean) * (y - mean) for x, y in zip(values, values[1:], strict=False)) / power if power else 1.0
+    ps.append(math.erfc(abs((corr + 1 / n) * math.sqrt(n)) / math.sqrt(2)))
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return math.exp(-half) * (1 + half + half**2 / 2)
+
+
+def test_battery_by_plain_loops():
+    r = random.Random(2)
+    for name, letters in s.ENCODINGS.items():
+        for n in (20, 33, 64, 257):
+            for t in ("".join(r.choice(letters) for _ in range(n)), "".join(r.choice(letters[:5]) for _ in range(n)), letters[0] * n, (letters * 9)[:n]):
+                assert abs(s.randomness(t, name) - min(1, plain_randomness(t, name))) < 1e-9, (name, t)
+
+
+def test_all_spans_by_brute_force(spark):
+    """Tokens, histogram and cuts over the whole corpus, with no regard to how the operator finds them."""
+    tokens, hist = [], {}
+    for i, text, *_ in corpus():
+        base = s.base_spans(text or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                name = next((k for k, letters in s.ENCODINGS.items() if set(m[0]) <= set(letters)), "mixed")
+                key = f"{name}:{s.band(len(m[0]))}"
+                at = min(s.P_BINS - 1, int(s.randomness(m[0], name) * s.P_BINS))
+                hist.setdefault(key, np.zeros(s.P_BINS))[at] += 1
+                tokens.append((i, m.span(), key, at))
+    cuts = s.cuts_of(hist)
+    want = {}
+    for i, (a, b), key, at in tokens:
+        if at >= cuts.get(key, s.P_BINS):
+            want.setdefault(i, set()).add(f"random:{a}:{b}")
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("random")} for r in s.scan(docs(spark, corpus())).collect()}
+    assert {i: x for i, x in got.items() if x} == want and want
+
+
+def test_false_discoveries_stay_within_their_share():
+    """Random strings with uniform p-values among others whose p-values are near zero, from a dozen to thousands."""
+    r = np.random.default_rng(4)
+    for random_, others in ((1, 3), (3, 10), (10, 10), (30, 10), (30, 300), (200, 200), (200, 5000)):
+        shares, found = [], []
+        for _ in range(300):
+            a, b = np.histogram(r.random(r.poisson(random_)), s.P_BINS, (0, 1))[0], np.histogram(r.beta(0.3, 8, r.poisson(others)), s.P_BINS, (0, 1))[0]
+            cut = s.cuts_of({"hex:20": (a + b).astype(float)}).get("hex:20", s.P_BINS)
+            shares.append(b[cut:].sum() / max(1, (a + b)[cut:].sum()))
+            found.append(a[cut:].sum() / max(1, a.sum()))
+        assert np.mean(shares) <= s.FALSE_SHARE + 0.01, (random_, others, np.mean(shares))
+        assert random_ < 30 or np.mean(found) > 0.45
+    one = np.zeros(s.P_BINS)
+    one[[1, 2, 3, 70]] = 1
+    assert s.cuts_of({"hex:20": one})["hex:20"] > 3
