@@ -5,8 +5,8 @@ folder; `read` gives a row for each document from them. Nothing but the files' t
 driver. A file is a magic number and segments of up to SEGMENT ids; a segment has its own table of documents, block
 offsets, words and escapes, so that reader and writer hold one segment at a time, and a document may go on in the next.
 
-Null and empty texts have the end id alone. A null doc_id sorts first and stays null; equal doc_ids are written one
-after the other, each with its own row. An empty table gives no rows. Other columns are not read. Whole texts of any
+Null and empty texts have the end id alone. A null doc_id sorts first and stays null, whatever its number in the file says;
+equal doc_ids are written one after the other, each with its own row, and may spread over several files. An empty table gives no rows. Other columns are not read. Whole texts of any
 length: a long document is spread over segments.
 """
 
@@ -20,15 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import arrow_rows, new_folder, table
 from .tokens import default_vocabulary, text_ids
 
-MAGIC = b"TFIDS8B1"
+MAGIC = b"TFIDS8B2"
 SEGMENT = 1 << 19
 _HEAD = struct.Struct("<IIQQI")  # documents, blocks, ids, words, escapes
-_NULL_ID = -(1 << 63)
+#: Flags of a document in a segment: its last part, and no doc_id.
+_LAST, _NULL = 1, 2
 
 
 def open_store(uri: str):
@@ -56,7 +58,7 @@ class SegmentWriter:
             part = ids[at : at + room]
             at += len(part)
             last = at >= len(ids)
-            self.docs.append((_NULL_ID if doc_id is None else doc_id, len(part) // 4, last))
+            self.docs.append((doc_id or 0, len(part) // 4, last * _LAST | (doc_id is None) * _NULL))
             self.parts.append(part)
             self.size += len(part) // 4
             if self.size >= SEGMENT:
@@ -85,15 +87,15 @@ def read_documents(file) -> Iterator[tuple[int | None, int, int, int]]:
     while head := file.read(_HEAD.size):
         n_docs, n_blocks, n_ids, n_words, n_escapes = _HEAD.unpack(head)
         take = lambda kind, n: np.frombuffer(file.read(np.dtype(kind).itemsize * n), dtype=kind)
-        doc_ids, lengths, last = take("<i8", n_docs), take("<u4", n_docs), take("<u1", n_docs)
+        doc_ids, lengths, flags = take("<i8", n_docs), take("<u4", n_docs), take("<u1", n_docs)
         offsets, words, escapes = take("<u4", n_blocks + 1), take("<u8", n_words), take("<u8", n_escapes)
         ids = memoryview(simple8b.decode(words, offsets, escapes, n_ids).astype("<u4").tobytes())
         at = 0
-        for doc_id, n, end in zip(doc_ids.tolist(), lengths.tolist(), last.tolist(), strict=True):
+        for doc_id, n, flag in zip(doc_ids.tolist(), lengths.tolist(), flags.tolist(), strict=True):
             crc = zlib.crc32(ids[at * 4 : (at + n) * 4], crc)
             at, count = at + n, count + n
-            if end:
-                yield None if doc_id == _NULL_ID else doc_id, place, count, crc
+            if flag & _LAST:
+                yield None if flag & _NULL else doc_id, place, count, crc
                 place, count, crc = place + count, 0, 0
 
 
@@ -122,7 +124,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> list[tu
             store.delete_file(draft)
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [final], "n_ids": [n]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Ranges of doc_id and row, so that the rows of a null or repeated doc_id don't all end in one task.
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     rows = ordered.mapInArrow(each, "part int, path string, n_ids long").collect()
     return [(r["path"], r["n_ids"]) for r in sorted(rows, key=lambda r: r["part"]) if r["n_ids"]]
 

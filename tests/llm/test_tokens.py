@@ -59,6 +59,22 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.token_file(docs(spark, [])).collect() == []
 
 
+def test_one_id_in_most_rows_is_spread_over_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    least = -(1 << 63)
+    df = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 2 > 0, F.lit(least)).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = tokenfile.write(df, str(tmp_path), VOCABULARY, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokenfile.read(spark, str(tmp_path), files).collect()
+    assert len(files) == 4 and max(n for _, n in files) < 0.5 * sum(n for _, n in files)
+    count = {i: sum(r["doc_id"] == i for r in got) for i in (None, 5, least)}
+    assert count == {i: df.filter(F.col("doc_id").eqNullSafe(i)).count() for i in count} and len(got) == 4000
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order)
+
+
 def test_a_document_over_several_segments(tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "SEGMENT", 100)
     sizes = [0, 5, 250, 100, 95, 1000, 1]
