@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, kept, table
+from .common import arrow_rows, free_name, kept, table
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -317,17 +317,21 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs with one document of each component of found (doc_id, text_key, root, component_id), that with the least
     doc_id, and one row of it. The others are few beside the texts, so it is these that the texts are held against, by doc_id
-    and text: a doc_id may have texts of several components, each of which is judged for itself. Rows without a doc_id stay."""
-    gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct(), "gone")
-    stay = docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
-    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1)
-    if not ids:
+    and text: a doc_id may have texts of several components, each of which is judged for itself. Only the texts of doc_ids that
+    occur several times in a component are held against each other. Rows without a doc_id stay."""
+    gone_id, gone_key, root = (free_name(docs, x) for x in ("gone_id", "gone_key", "root"))
+    key = F.xxhash64(docs["text"])
+    gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "gone")
+    stay = docs.join(gone, (docs["doc_id"] == gone[gone_id]) & (key == gone[gone_key]), "left_anti")
+    again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = kept(again.select(F.col("doc_id").alias(gone_id)).distinct(), "again")
+    if not again.take(1):
         return stay
-    parts = kept(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("root").alias("_root")).distinct(), "parts")
-    named = stay.filter(F.col("doc_id").isNotNull())
-    named = named.join(parts, (named["doc_id"] == parts["_id"]) & (F.xxhash64(named["text"]) == parts["_key"]))
-    first = named.dropDuplicates(["doc_id", "_root"]).select(*docs.columns)
-    return first.unionByName(stay.filter(F.col("doc_id").isNull()))
+    parts = found.join(again, found["doc_id"] == again[gone_id], "left_semi")
+    parts = kept(parts.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("root").alias(root)).distinct(), "parts")
+    once = stay.join(again, stay["doc_id"] == again[gone_id], "left_anti")
+    several = stay.join(parts, (stay["doc_id"] == parts[gone_id]) & (F.xxhash64(stay["text"]) == parts[gone_key]))
+    return once.unionByName(several.dropDuplicates(["doc_id", root]).select(*docs.columns))
 
 
 def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
