@@ -3,11 +3,13 @@
 The bytes of the whole text are embedded; filters of WIDTH bytes move over them in steps of STEP, so that neighbouring
 windows overlap; windows are max-pooled over chunks of CHUNK bytes, whose last windows reach into the next chunk; the
 largest and the mean of the chunks' pools are combined into one probability. It is trained with Adam on the driver on
-at most SAMPLE labelled documents of each class of at most SAMPLE_BYTES bytes, those with the least hash of the doc_id;
-scores read nothing but the text.
+at most SAMPLE different labelled texts of each class of at most SAMPLE_BYTES bytes, those with the least hash: labels
+are joined to such documents first, then repeats go, then the sample is taken. Scores read nothing but the text; a long
+one goes through the network in slices of SLICE bytes, of which only the pools' maximum and sum are kept.
 
 Null and empty texts are one chunk of padding and have the score of that. Labels other than 0 and 1, and documents
-without labels, teach nothing; without labels of both classes every score is 0.5. Repeated rows have equal scores,
+without labels, teach nothing; labels that contradict each other both count; without labels of both classes every score
+is 0.5. Repeated rows have equal scores,
 null doc_ids are not held out, an empty table gives no rows, other columns of the labels or documents are not read.
 """
 
@@ -18,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, pieces, table
+from .common import arrow_rows, free_name, kept, pieces, table
 
 STEP, TAPS, CHUNK = 4, 3, 256
 WIDTH = STEP * TAPS
@@ -31,7 +33,11 @@ WINDOWS = CHUNK // STEP
 #: The bound of the sample that the network learns from: documents of each class, and bytes of a document.
 SAMPLE, SAMPLE_BYTES = 1000, 32_768
 EPOCHS, BATCH, RATE, SEED = 16, 32, 0.01, 7
+#: Bytes that go through the network at once; a multiple of CHUNK.
+SLICE = 1 << 19
 THRESHOLD = 0.3
+#: The share of passages among what is learnt from, and their least bytes.
+CUT, CUT_LEAST = 0.3, 20
 
 
 @dataclass
@@ -111,11 +117,11 @@ def backward(net: Network, kept: dict, slope: np.ndarray) -> list[np.ndarray]:
     return [of_embed, of_filters, np.bincount(f, g, FILTERS).astype(np.float32), (slope @ kept["features"]).astype(np.float32), np.array([slope.sum()], np.float32)]
 
 
-def _cut(text: bytes, good: bool, r: np.random.Generator) -> bytes:
-    """Now and then a passage instead of the whole, as most texts are long, but short ones are to be judged as well; of a bad text a longer one, for parts of it may be good."""
-    if r.random() > (0.4 if good else 0.2):
+def _cut(text: bytes, r: np.random.Generator) -> bytes:
+    """Now and then a passage instead of the whole, as most texts are long, but short ones are to be judged as well."""
+    if r.random() > CUT:
         return text
-    n = int(np.exp(r.uniform(np.log(6), np.log(400)))) + (0 if good else 120)
+    n = int(np.exp(r.uniform(np.log(6), np.log(400)))) + CUT_LEAST
     at = int(r.integers(0, max(1, len(text) - n)))
     at = text.rfind(b" ", 0, at) + 1
     return text[at : at + n]
@@ -136,7 +142,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Netwo
         order = r.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            odds, kept = forward(net, [_cut(texts[i], labels[i] > 0, r) for i in some])
+            odds, kept = forward(net, [_cut(texts[i], r) for i in some])
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             slope = ((p - labels[some]) * weight[some] / len(some)).astype(np.float32)
             step += 1
@@ -148,25 +154,49 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Netwo
     return net
 
 
+def long_odds(net: Network, text: bytes) -> float:
+    """The log-odds of a text of any length, slice by slice. A slice has the few bytes after it as well, as its last windows reach into them."""
+    most, total, chunks = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0
+    for at in range(0, len(text), SLICE):
+        pools = forward(net, [text[at : at + SLICE + WIDTH - STEP]])[1]["pools"]
+        if at + SLICE < len(text):
+            pools = pools[: SLICE // CHUNK]
+        most, total, chunks = np.maximum(most, pools.max(axis=0)), total + pools.sum(axis=0, dtype=np.float64), chunks + len(pools)
+    return float(np.concatenate([most, total / chunks]) @ net.weights + net.offset[0])
+
+
 def probabilities(net: Network | None, texts: list[str | None]) -> np.ndarray:
     if net is None:
         return np.full(len(texts), 0.5)
-    odds, _ = forward(net, [(t or "").encode() for t in texts])
-    return 1 / (1 + np.exp(-np.clip(odds.astype(np.float64), -500, 500)))
+    data = [(t or "").encode() for t in texts]
+    odds = np.zeros(len(data))
+    short = [i for i, t in enumerate(data) if len(t) <= SLICE]
+    if short:
+        odds[short] = forward(net, [data[i] for i in short])[0]
+    for i, t in enumerate(data):
+        if len(t) > SLICE:
+            odds[i] = long_odds(net, t)
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def remainder(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text (bytes), quality: at most SAMPLE different texts of each class, without the held-out rows. Only ids and hashes are joined and ranked; the texts picked are read after that."""
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).distinct()
+    usable = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("key", F.xxhash64("text"))
+    found = usable.select("id", "key").join(marked, F.col("id") == F.col("doc_id")).groupBy("quality", "key").agg(F.min("id").alias("picked"))
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("key"), "key"))
+    picked = kept(found.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).select("picked", F.col("key").alias("picked_key"), "quality"), "labelled")
+    # At most SAMPLE rows of each class are broadcast.
+    return usable.join(F.broadcast(picked), (F.col("id") == F.col("picked")) & (F.col("key") == F.col("picked_key"))).select("text", "quality").distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Learns from docs (doc_id, text) and labels (doc_id, quality), without the held-out rows."""
-    usable = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0))
-    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
-    some = [usable.filter(F.col("quality") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
-    picked = some[0].union(some[1])  # at most twice SAMPLE rows
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))
+    rows = sorted(sample(docs, labels).collect(), key=lambda r: (bytes(r["text"]), r["quality"]))  # at most twice SAMPLE
     return train([bytes(r["text"]) for r in rows], np.array([r["quality"] for r in rows]))
 
 
@@ -185,9 +215,9 @@ def scored(docs: DataFrame, net: Network | None, columns: list[str], name: str =
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    net = fit(docs, labels)
-    return scored(docs, net, docs.columns, "_score").filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    """The rows of docs that the classifier accepts, with all their columns whatever their names."""
+    net, name = fit(docs, labels), free_name(docs)
+    return scored(docs, net, docs.columns, name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

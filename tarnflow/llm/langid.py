@@ -4,10 +4,13 @@ Words (runs of letters, lower case, with a space on either side) are scored by c
 is sorted arrays of hashed n-grams with their interpolated log-probabilities and of hashed contexts with the weights
 of the next lower order. A text's cross-entropy under a language is its words' sum divided by its characters; the least
 one wins. On sampled documents kept from the models, a scale is fitted that turns the languages' cross-entropies into
-probabilities, and a bar that all but REJECT of the rightly labelled ones pass; `rejected` marks texts below it.
+probabilities, and a bar that all but REJECT of the rightly labelled ones pass; `rejected` marks texts below it. The
+evidence grows with the root of a text's characters, but not beyond SURE of them, as characters aren't independent: that
+bounds how sure a score gets, never what is read.
 
-The models are fitted on at most about SAMPLE documents of each language of at most SAMPLE_BYTES bytes, picked by the
-hash of the doc_id; prediction reads nothing but the text, whole. Null texts and texts without letters are `und` with
+The models are fitted on at most SAMPLE different texts of each language of at most SAMPLE_BYTES bytes, those with the
+least hashes of the text, so that repeated texts and null or repeated doc_ids count once; prediction reads nothing but
+the text, whole. Null texts and texts without letters are `und` with
 score 0. Null languages teach nothing; without any labelled row all is `und`. Repeated rows have equal results, an
 empty table gives none, other columns are not read.
 """
@@ -21,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .classifier import remainder
@@ -31,7 +34,7 @@ ORDER = 4
 SAMPLE, SAMPLE_BYTES = 400, 32_768
 #: The odds of a character that no model has seen.
 UNSEEN = 1 / 4096
-REJECT = 0.01
+REJECT, SURE = 0.01, 400
 REMEMBERED = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +196,7 @@ class Identifier:
     bar: float = 0.0
 
     def confidence(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        z = -entropy * (self.scale * np.sqrt(np.minimum(n, 400)))[:, None]
+        z = -entropy * (self.scale * np.sqrt(np.minimum(n, SURE)))[:, None]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -217,16 +220,24 @@ def calibrate(who: Identifier, texts: list[str], langs: list[str]) -> None:
     who.bar = float(np.quantile(sure, REJECT)) if len(sure) else 0.0
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, text: at most SAMPLE different texts of each language, without the rows held out."""
+    usable = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder("doc_id", 4), F.lit(0)) != 2) & (F.octet_length("text") <= SAMPLE_BYTES))
+    hash_ = F.xxhash64("text", F.lit(SALT))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(hash_).alias("n")).collect()}  # a row for each language
+    # Four times as many as wanted are drawn, so that few texts are moved; the rank then takes the exact number.
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * SAMPLE / max(1, n)))]) if counts else F.create_map().cast("map<string,double>")
+    drawn = usable.filter(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(SALT + 1)), "text"))
+    return drawn.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).drop("rank")
+
+
 def fit(docs: DataFrame) -> Identifier | None:
     """From docs (doc_id, text, lang), without the rows held out."""
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder("doc_id", 4), F.lit(0)) != 2) & (F.octet_length("text") <= SAMPLE_BYTES))
-    counts = {r["lang"]: r["count"] for r in usable.select("lang").groupBy("lang").count().collect()}  # a row for each language
+    rows = sorted(sample(docs).collect(), key=lambda r: (r["lang"], r["text"]))  # at most SAMPLE of each language
+    counts = Counter(r["lang"] for r in rows)
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SALT)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))])
-    rows = usable.filter(draw < share[F.col("lang")]).collect()  # about SAMPLE of each language
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]))
     names = sorted(counts)
     words: dict[str, Counter] = {k: Counter() for k in names}
     spare: list = []

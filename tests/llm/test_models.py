@@ -76,6 +76,140 @@ def _prefix(m, text):
     return float(score.sum())
 
 
+def plain_kneser_ney(counts, order):
+    """p(history, character) by the definition, with dictionaries: histories are what stands before within the word."""
+    spots = [(f" {w} ", i, n) for w, n in counts.items() for i in range(1, len(w) + 2)]
+    table = {}
+    for n in range(1, order + 1):
+        grams = {}
+        if n == order:
+            for text, i, times in spots:
+                if i >= n - 1:
+                    g = text[i - n + 1 : i + 1]
+                    grams[g] = grams.get(g, 0) + times
+        else:
+            for g in {text[i - n : i + 1] for text, i, _ in spots if i >= n}:
+                grams[g[1:]] = grams.get(g[1:], 0) + 1
+            for text, i, times in spots:
+                if i == n - 1:
+                    g = text[: i + 1]
+                    grams[g] = grams.get(g, 0) + times
+        ones, twos = (sum(c == k for c in grams.values()) for k in (1, 2))
+        table[n] = grams, ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def p(history, c, n):
+        if n == 0:
+            return langid.UNSEEN
+        if len(history) < n - 1:
+            return p(history, c, n - 1)
+        context, (grams, discount) = history[len(history) - n + 1 :], table[n]
+        beside = {g: x for g, x in grams.items() if g[:-1] == context}
+        if not beside:
+            return p(history, c, n - 1)
+        total, held = sum(beside.values()), sum(min(x, discount) for x in beside.values())
+        return max(0.0, beside.get(context + c, 0) - discount) / total + held / total * p(history, c, n - 1)
+
+    return lambda word: sum(np.log(p(f" {word} "[:i], f" {word} "[i], order)) for i in range(1, len(word) + 2))
+
+
+def test_word_scores_by_the_definition():
+    r = random.Random(1)
+    counts = Counter("".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(60))
+    other = Counter(w[::-1] + "é" for w in counts)
+    words = [*counts, *other, "dcba", "x", "aaaaaaaaaa", "zabz"]
+    for order in (1, 2, 3, 4):
+        got = langid.word_scores([langid.train(counts, order), langid.train(other, order)], words, order)
+        plain = [plain_kneser_ney(c, order) for c in (counts, other)]
+        want = np.array([[f(w) for f in plain] for w in words])
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4), order
+
+
+def test_samples_are_of_different_texts(spark, monkeypatch):
+    """Null ids, one id in every row, and copies of one row in most: each language still learns from its own different texts."""
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    data = corpus()
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    for rows_ in ([(None, *x[1:]) for x in data], [(one, *x[1:]) for x in data], data + [data[1]] * 500 + [data[0]] * 300):
+        got = langid.sample(docs(spark, rows_)).collect()
+        assert Counter(r["lang"] for r in got) == {"en": 20, "de": 20} and len({r["text"] for r in got}) == 40
+    who = langid.fit(docs(spark, [(None, *x[1:]) for x in data]))
+    found = langid.identified(docs(spark, data), who).collect()
+    assert [r["lang_pred"] for r in sorted(found, key=lambda r: r["doc_id"])] == [x[2] for x in data]
+
+
+def test_labelled_samples(spark, monkeypatch):
+    """Labels repeated 3,000 times, labels of documents that are absent or too long, and repeated documents."""
+    r = random.Random(2)
+    data = [(i, f"text {i} " + prose(r, 20), "en", "a", 0) for i in range(120)] + [(200, "long " * 9000, "en", "a", 0)]
+    learnt = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    labels = [(i, i % 2) for i in range(120)] + [(0, 0), (1, 1)] * 3000 + [(i, i % 2) for i in range(1000, 4000)] + [(200, 0), (5, 7), (6, None), (None, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    for rows_ in (data, data + [data[2]] * 300 + [(i, data[4][1], "en", "a", 0) for i in range(300, 320)]):
+        got = [(r["quality"], bytes(r["text"]).decode()) for r in classifier.sample(docs(spark, rows_), table).collect()]
+        assert sorted(got) == sorted((i % 2, data[i][1]) for i in learnt)
+    monkeypatch.setattr(classifier, "SAMPLE", 15)
+    got = classifier.sample(docs(spark, data), table).collect()
+    assert Counter(r["quality"] for r in got) == {0: 15, 1: 15} and len({bytes(r["text"]) for r in got}) == 30
+    assert classifier.sample(docs(spark, data), table.filter("doc_id >= 1000")).collect() == []
+
+
+def plain_odds(net, text):
+    """The network by its definition: one window after the other."""
+    c = classifier
+    chunks = -(-(len(text) + c.WIDTH - c.STEP) // c.CHUNK)
+    flat = [*text, *[256] * (chunks * c.CHUNK + c.WIDTH - len(text))]
+    pools = np.zeros((chunks, c.FILTERS))
+    for k in range(chunks):
+        for w in range(c.WINDOWS):
+            at = k * c.CHUNK + w * c.STEP
+            if at + c.WIDTH > chunks * c.CHUNK:
+                continue
+            z = net.bias.astype(float).copy()
+            for tap in range(c.TAPS):
+                row = np.concatenate([net.embed[b] for b in flat[at + tap * c.STEP : at + (tap + 1) * c.STEP]])
+                z += row.astype(float) @ net.filters[:, tap * c.FILTERS : (tap + 1) * c.FILTERS]
+            pools[k] = np.maximum(pools[k], z)
+    return float(np.concatenate([pools.max(axis=0), pools.mean(axis=0)]) @ net.weights + net.offset[0])
+
+
+def test_network_by_plain_loops(monkeypatch):
+    net = classifier.Network.new(5)
+    r = np.random.default_rng(1)
+    net.bias += r.normal(0, 0.3, classifier.FILTERS).astype(np.float32)
+    sizes = [0, 1, 8, 243, 244, 247, 248, 249, 255, 256, 257, 500, 512, 520, 1024, 1027, 2000]
+    texts = [bytes(r.integers(32, 127, n).tolist()) for n in sizes]
+    want = [plain_odds(net, t) for t in texts]
+    assert np.allclose(classifier.forward(net, texts)[0], want, atol=1e-4)
+    for size in (256, 512):
+        monkeypatch.setattr(classifier, "SLICE", size)
+        assert np.allclose([classifier.long_odds(net, t) for t in texts[1:]], want[1:], atol=1e-4)
+        p = classifier.probabilities(net, [t.decode() for t in texts])
+        assert np.allclose(p, 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+
+
+def test_memory_is_flat_over_a_long_text():
+    import tracemalloc
+
+    net, text = classifier.Network.new(5), "some words of a text " * 2_500_000
+    tracemalloc.start()
+    p = classifier.probabilities(net, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < p[0] < 1 and peak < 4 * len(text), peak / 1e6
+
+
+def test_columns_of_any_name_stay(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    data = [(i, prose(r, 40) if i % 3 else " ".join(w.upper() + "!!" for w in prose(r, 40).split()), "en", "a", 0) for i in range(60)]
+    names = ["_score", "score", "made", "made_", "key", "picked", "picked_key", "quality", "rank", "id"]
+    table = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    df = docs(spark, data).withColumns({n: F.lit(7) for n in names})
+    kept = classifier.keep(df, table)
+    assert kept.columns == df.columns and {tuple(x) for x in kept.select(*names).distinct().collect()} == {(7,) * len(names)}
+
+
 def test_gradients_by_differences():
     net = classifier.Network.new(3)
     texts = [b"hello there, this is a text. " * 30, b"x", b"", b"###%%%" * 50]
