@@ -2,21 +2,26 @@
 
 A stream is a DataFrame of key, value, ts (event time, Unix milliseconds), seq (order of arrival, unique) and part (the
 task). Functions of records are functions of columns, so Catalyst sees them and pushes them down; key changes need no
-repartition topic, as Spark's planner puts an exchange before whatever needs one.
+repartition topic, as Spark's planner puts an exchange before whatever needs one. The same calls build unbounded
+topologies: over a streaming DataFrame, tables are their updates, and what needs state goes to streaming.exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.serde import Serde
+from ..streaming import exact
 from . import joins
 from .lateness import STRETCH, is_late, with_stream_time
-from .tables import COUNT, Aggregate, GlobalTable, Table
+from .tables import COUNT, Aggregate, GlobalTable, Table, Updates, python_fold
 from .windows import JoinWindows, Session, WindowDefinition
 
 ENVELOPE = ("key", "value", "ts", "seq", "part")
@@ -104,16 +109,36 @@ class Stream:
         return Grouped(self)
 
     def join_global(self, table: GlobalTable, key: RecordFn, joiner: Callable[[Column, Column], Column]) -> Stream:
+        """Both unbounded: lookups see the table's changes up to the record. An unbounded stream and a bounded table: a static lookup."""
+        if self.df.isStreaming and table.rows.isStreaming:
+            if key is None:
+                raise ValueError("a key function is needed")
+            return self._joined(exact.join_global(self.df, table.rows, key), joiner(F.col("value"), F.col("table_value")))
         return self._with(joins.join_global(self.df, table, key, joiner))
 
     def join_table(self, table: Table, joiner: Callable[[Column, Column], Column], table_first: bool = True) -> Stream:
+        if self.df.isStreaming:
+            if table.keys != ("key",):
+                raise ValueError("only tables without windows can be joined")
+            if not table_first:
+                raise ValueError("an unbounded table is updated first")
+            fold = python_fold(table.aggregate)
+            return self._joined(exact.join_table(self.df, table.rows, fold.init, fold.step, fold.kind), joiner(F.col("value"), F.col("table_value")))
         return self._with(joins.join_table(self.df, table, joiner, table_first))
 
     def join(self, other: Stream, joiner: Callable[[Column, Column], Column], windows: JoinWindows) -> Stream:
+        if self.df.isStreaming:
+            return self._joined(exact.join_streams(self.df, other.df, windows), joiner(F.col("left"), F.col("right")))
         return self._with(joins.join_streams(self.df, other.df, joiner, windows, self.stretch))
 
+    def _joined(self, df: DataFrame, value: Column) -> Stream:
+        return self._with(df.select("key", value.alias("value"), "ts", "seq", "part"))
+
     def late_in_join(self, other: Stream, windows: JoinWindows) -> DataFrame:
-        """late_count: the records that the join drops."""
+        """late_count: the records that the join drops; unbounded: part, late_count, seq, a row for each batch of a task."""
+        if self.df.isStreaming:
+            columns = ["ts", "seq", "part"]
+            return exact.late_count(self.df.select(*columns).unionByName(other.df.select(*columns)), windows.max_size_ms + windows.grace_ms)
         return joins.tagged(self.df, other.df, windows, self.stretch).agg(F.sum(F.col("late").cast("bigint")).alias("late_count"))
 
     def to(self, name: str, key_serde: Serde | None = None, value_serde: Serde | None = None) -> Stream:
@@ -164,27 +189,33 @@ class _Timed:
     def _reach(self) -> int:
         return self.windows.gap_ms if isinstance(self.windows, Session) else self.windows.max_size_ms
 
-    def _tagged(self) -> DataFrame:
+    def _timed(self) -> DataFrame:
         df = self.stream.df
-        if self.extractor:
-            df = df.withColumn("ts", self.extractor(F.col("key"), F.col("value")).cast("bigint"))
-        return with_stream_time(df, self.stream.stretch).withColumn("late", is_late(self._reach() + self.grace_ms))
+        return df.withColumn("ts", self.extractor(F.col("key"), F.col("value")).cast("bigint")) if self.extractor else df
+
+    def _tagged(self) -> DataFrame:
+        return with_stream_time(self._timed(), self.stream.stretch).withColumn("late", is_late(self._reach() + self.grace_ms))
 
     def accepted(self) -> DataFrame:
         return self._tagged().filter(~F.col("late")).drop("late", "stream_time")
 
     def late_count(self) -> DataFrame:
-        """late_count: how many records are dropped."""
+        """late_count: how many records are dropped; unbounded: part, late_count, seq, a row for each batch of a task."""
+        if self.stream.df.isStreaming:
+            return exact.late_count(self._timed(), self._reach() + self.grace_ms)
         return self._tagged().agg(F.coalesce(F.sum(F.col("late").cast("bigint")), F.lit(0)).cast("bigint").alias("late_count"))
 
 
 @dataclass(frozen=True)
 class TimeWindowed(_Timed):
-    def count(self) -> Table:
+    def count(self) -> Table | Updates:
         return self.aggregate(COUNT)
 
-    def aggregate(self, how: Aggregate) -> Table:
+    def aggregate(self, how: Aggregate) -> Table | Updates:
         """A record goes to all windows that its time is in."""
+        if self.stream.df.isStreaming:
+            fold = python_fold(how)
+            return Updates(exact.windowed(self._timed(), self.windows, self.grace_ms, fold.init, fold.step, fold.kind))
         rows = self.accepted().withColumn("_w", F.explode(self.windows.assign(F.col("ts"))))
         rows = rows.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
         return Table(rows, how, ("key", "window_start", "window_end"))
@@ -195,31 +226,50 @@ class SessionWindowed(_Timed):
     """Sessions are (key, session_start, session_end, value); the end is the last event's time."""
 
     def count(self) -> DataFrame:
+        if self.stream.df.isStreaming:
+            return self.fold(lambda: 0, lambda key, value, acc: acc + 1, lambda a, b: a + b, "bigint")
         return self.aggregate(F.count(F.lit(1)))
 
     def aggregate(self, value: Column) -> DataFrame:
         """value: an aggregate of the column value that doesn't depend on the order in which sessions met."""
+        if self.stream.df.isStreaming:
+            raise ValueError("an unbounded stream needs fold")
         window = F.session_window(F.timestamp_millis("ts"), f"{self.windows.gap_ms} milliseconds")
         out = self.accepted().groupBy("key", window.alias("_s")).agg(value.alias("value"))
         return out.select("key", F.unix_millis("_s.start").alias("session_start"), (F.unix_millis("_s.end") - self.windows.gap_ms).alias("session_end"), "value")
 
     def fold(self, init: Callable[[], object], step: Callable, merge: Callable, kind: str) -> DataFrame:
         """step(key, value, acc) and merge(a, b) in Python, in order of arrival: a record takes the sessions within the gap, which are
-        merged from the earliest on, and is folded in last; only a new session begins with init()."""
-        import pandas as pd
-
-        gap, key_type = self.windows.gap_ms, dict(self.stream.df.dtypes)["key"]
-
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("seq", kind="stable")
-            open_: list[list] = []  # start, end, acc, by start; sessions are apart by more than the gap
-            for key, value, ts in zip(group["key"], group["value"], group["ts"].tolist(), strict=True):
-                near = [s for s in open_ if s[1] + gap >= ts >= s[0] - gap]
-                acc = near[0][2] if near else init()
-                for s in near[1:]:
-                    acc = merge(acc, s[2])
-                now = [min([ts, *(s[0] for s in near)]), max([ts, *(s[1] for s in near)]), step(key, value, acc)]
-                open_ = sorted([s for s in open_ if s not in near] + [now], key=lambda s: s[0])
-            return pd.DataFrame({"key": [group["key"].iloc[0]] * len(open_), "session_start": [s[0] for s in open_], "session_end": [s[1] for s in open_], "value": [s[2] for s in open_]})
-
-        return self.accepted().select("key", "value", "ts", "seq").groupBy("key").applyInPandas(run, f"key {key_type}, session_start bigint, session_end bigint, value {kind}")
+        merged from the earliest on, and is folded in last; only a new session begins with init(). Rows are dealt out and sorted
+        by key and go through in Arrow batches; sessions that no accepted record can reach any more are given out at once.
+        Unbounded: the updates, with the starts of the sessions that each one replaces."""
+        gap, grace = self.windows.gap_ms, self.grace_ms
+        if self.stream.df.isStreaming:
+            return exact.sessions(self._timed(), gap, grace, init, step, merge, kind)
+        rows = self._tagged().filter(~F.col("late")).select("key", "value", "ts", "seq", "stream_time")
+        schema = T.StructType([rows.schema["key"], *(T.StructField(n, T.LongType()) for n in ("session_start", "session_end")), T.StructField("value", T._parse_datatype_string(kind))])
+        arrow = to_arrow_schema(schema)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, first = None, True
+            open_: list[list] = []  # start, end, acc; apart by more than the gap
+            for batch in batches:
+                out: list[tuple] = []
+                for key, value, ts, top in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                    if first or key != now:
+                        out += [(now, *s) for s in open_]
+                        now, first, open_ = key, False, []
+                    near = sorted((s for s in open_ if s[1] + gap >= ts >= s[0] - gap), key=lambda s: s[0])
+                    acc = near[0][2] if near else init()
+                    for s in near[1:]:
+                        acc = merge(acc, s[2])
+                    made = [min([ts, *(s[0] for s in near)]), max([ts, *(s[1] for s in near)]), step(key, value, acc)]
+                    apart = [s for s in open_ if not s[1] + gap >= ts >= s[0] - gap]
+                    out += [(key, *s) for s in apart if s[1] < top - 2 * gap - grace]
+                    open_ = [s for s in apart if s[1] >= top - 2 * gap - grace] + [made]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            if open_:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(now, *s) for s in open_], strict=True), arrow, strict=True)], schema=arrow)
+
+        return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, schema)

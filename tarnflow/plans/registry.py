@@ -10,17 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.partitioner import kafka_partition, long_key
 from ..functions.serde import JsonSerde
 from ..functions.time import millis
 from ..operators.streams import Builder, Stream
-from ..operators.tables import ColumnFold, Declared
+from ..operators.tables import ColumnFold, Declared, PythonFold
 from ..operators.windows import WINDOWS, Hopping, JoinWindows, Session, Tumbling
 from ..sources.files import envelope
 
 MINUTE, HOUR = 60_000, 3_600_000
 #: The arrival number of a late event is its arrival time since this day, then its id.
 DAY_ZERO, IDS = 1_704_067_200_000, 1 << 24
-LATE_STRETCH = IDS * 6 * HOUR
+LATE_STRETCH = IDS * MINUTE
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -339,6 +340,103 @@ def merge_count(spark, sf_dir):
     return clicks.merge(errors).group_by_key().count().snapshot()
 
 
+@query("WITH " + _LATE + ", o AS (SELECT user_id, list(cents ORDER BY seq) AS v FROM lt GROUP BY 1) SELECT user_id AS key, list_reduce(list_prepend(CAST(7 AS BIGINT), v), lambda a, x: (a * 33 + x) % 1000003) AS value FROM o")
+def python_fold_last(spark, sf_dir):
+    fold = PythonFold(lambda: 7, lambda key, value, acc: (acc * 33 + value) % 1_000_003, "bigint")
+    return events(spark, sf_dir, late=True).group_by_key().aggregate(fold).snapshot()
+
+
+_RUNNING = "WITH " + _LATE + ", o AS (SELECT user_id, seq, t, list(cents) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS v FROM lt) SELECT user_id AS key, list_reduce(list_prepend(CAST(7 AS BIGINT), v), lambda a, x: (a * 33 + x) % 1000003) AS value, t AS ts FROM o"
+
+
+@query(_RUNNING)
+def python_fold_changelog(spark, sf_dir):
+    fold = PythonFold(lambda: 7, lambda key, value, acc: (acc * 33 + value) % 1_000_003, "bigint")
+    return _shown(events(spark, sf_dir, late=True).group_by_key().aggregate(fold).changelog())
+
+
+@query(_RUNNING)
+def column_fold_changelog(spark, sf_dir):
+    fold = ColumnFold(F.lit(7), lambda acc, v: (acc * 33 + v) % 1_000_003, "bigint")
+    return _shown(events(spark, sf_dir, late=True).group_by_key().aggregate(fold).changelog())
+
+
+@query("WITH " + _LATE + ", a AS (SELECT * FROM st WHERE t >= st - 3600000 - 3600000), " + _ISLANDS.format(gap=HOUR, rows="a", value="CAST(sum(cents) AS BIGINT)"))
+def session_fold_sum(spark, sf_dir):
+    """A fold with a merge of the sessions that a late record bridges."""
+    sessions = events(spark, sf_dir, late=True).group_by_key().session_windowed_by(Session(HOUR)).with_grace(HOUR)
+    return sessions.fold(lambda: 0, lambda key, value, acc: acc + value, lambda a, b: a + b, "bigint")
+
+
+@query("WITH " + _LATE + ", a AS (SELECT * FROM st WHERE t >= st - 43200000 - 3600000), " + _ISLANDS.format(gap=12 * HOUR, rows="a", value="max(cents)").replace(" AS value FROM i", " AS value, min(cents) AS low, count(*) AS n FROM i"))
+def session_fold_struct(spark, sf_dir):
+    """Sessions with a value of several fields."""
+    sessions = events(spark, sf_dir, late=True).group_by_key().session_windowed_by(Session(12 * HOUR)).with_grace(HOUR)
+    step = lambda key, v, acc: (max(acc[0], v), min(acc[1], v), acc[2] + 1) if acc else (v, v, 1)
+    merge = lambda a, b: (max(a[0], b[0]), min(a[1], b[1]), a[2] + b[2])
+    out = sessions.fold(lambda: None, step, merge, "struct<top:bigint,low:bigint,n:bigint>")
+    return out.select("key", "session_start", "session_end", F.col("value.top").alias("value"), "value.low", "value.n")
+
+
+_BOTH = "WITH " + _LATE.split(", st AS")[0] + ", s AS (SELECT * FROM lt WHERE event_type IN ('view', 'purchase')), x AS (SELECT *, greatest(0, max(t) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS st FROM s) SELECT CAST(sum(CAST(t < st - {reach} AS INT)) AS BIGINT) AS late_count FROM x"
+
+
+@query(_BOTH.format(reach=4 * HOUR))
+def join_late_count(spark, sf_dir):
+    b = Builder(spark)
+    views, purchases = (events(spark, sf_dir, late=True, kind=k, name=k, builder=b) for k in ("view", "purchase"))
+    return views.late_in_join(purchases, JoinWindows(HOUR, HOUR, 2 * HOUR))
+
+
+@query("WITH " + _LATE + " SELECT CAST(sum(CAST(t < st - 5400000 AS INT)) AS BIGINT) AS late_count FROM st")
+def hopping_late_count(spark, sf_dir):
+    return events(spark, sf_dir, late=True).group_by_key().windowed_by(Hopping(HOUR, 15 * MINUTE)).with_grace(30 * MINUTE).late_count()
+
+
+# murmur2 of a long's eight bytes, the high word of which is zero here: two words, read from the other end.
+_L = "4294967295"
+_MURMUR = (
+    "WITH k AS (SELECT DISTINCT CAST(user_id AS UBIGINT) AS u, user_id FROM events), "
+    "w AS (SELECT user_id, ((u & 255) << 24) | (((u >> 8) & 255) << 16) | (((u >> 16) & 255) << 8) | ((u >> 24) & 255) AS k2 FROM k), "
+    f"a AS (SELECT user_id, (CAST({0x9747B28C ^ 8} AS UBIGINT) * 1540483477) & {_L} AS h, (k2 * 1540483477) & {_L} AS k2 FROM w), "
+    f"b AS (SELECT user_id, ((h * 1540483477) & {_L}) AS h, (xor(k2, k2 >> 24) * 1540483477) & {_L} AS k2 FROM a), "
+    "c AS (SELECT user_id, xor(h, k2) AS h FROM b), "
+    f"d AS (SELECT user_id, (xor(h, h >> 13) * 1540483477) & {_L} AS h FROM c) "
+    "SELECT user_id AS key, CAST((xor(h, h >> 15) & 2147483647) % 12 AS INTEGER) AS partition FROM d"
+)
+
+
+@query(_MURMUR)
+def kafka_partition_of_keys(spark, sf_dir):
+    keys = events(spark, sf_dir).df.select("key").distinct()
+    return keys.select("key", kafka_partition(long_key(F.col("key")), 12).alias("partition"))
+
+
+@query("SELECT user_id % 10 AS key, count(*) AS value FROM events WHERE CAST(round(value*100) AS BIGINT) > 2000 GROUP BY 1")
+def map_rekey_count(spark, sf_dir):
+    """A changed key needs no repartition by hand."""
+    return events(spark, sf_dir).filter(lambda k, v: v > 2000).map(lambda k, v: k % 10, lambda k, v: v).group_by_key().count().snapshot()
+
+
+@query("WITH " + _ORDERED + ", p AS (SELECT event_id, user_id % 50 AS k FROM ev WHERE event_type = 'purchase'), v AS (SELECT event_id, user_id % 50 AS k, t FROM ev WHERE event_type = 'view') SELECT v.k AS key, v.t AS ts, (SELECT count(*) FROM p WHERE p.k = v.k AND p.event_id < v.event_id) AS value FROM v WHERE EXISTS (SELECT 1 FROM p WHERE p.k = v.k AND p.event_id < v.event_id)")
+def join_table_after_rekey(spark, sf_dir):
+    """Both sides re-keyed and dealt out to different numbers of partitions: they meet all the same."""
+    b = Builder(spark)
+    rekeyed = lambda kind: events(spark, sf_dir, kind=kind, name=kind, builder=b).select_key(lambda k, v: k % 50)
+    table = rekeyed("purchase").repartition(3).group_by_key().count()
+    return _shown(rekeyed("view").repartition(5).join_table(table, lambda v, n: n).df)
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS status, l AS last FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def join_global_last_value(spark, sf_dir):
+    """A key that occurs several times in a global table has its last value, here by ship date."""
+    rows = envelope(_table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_orderkey"))
+    stream = Builder(spark).stream("orders", rows)
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").alias("value"), millis("l_shipdate").alias("seq"))
+    out = stream.join_global(stream.builder.global_table("lines", lines), lambda k, v: k, lambda v, g: F.struct(v.alias("status"), g.alias("last")))
+    return out.df.select("key", "value.*")
+
+
 def _named(stream: Stream, name: str) -> Stream:
     return stream.select_key(lambda k, v: F.lit(name))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import millis
 
+#: Of a topic; offsets times this are unique over partitions.
+MOST_PARTITIONS = 1 << 16
+
 
 def validated(df: DataFrame, schema: T.StructType | None) -> DataFrame:
     """df, if it has the fields of the schema; a missing or different field is an error at the start, not in the middle."""
@@ -38,11 +43,20 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType | str, f
     return reader.parquet(path)
 
 
+def copartitioned(partitions: Mapping[str, int]) -> int:
+    """The number of partitions that all topics of a join have; topics of unequal numbers, or none, are an error before the start."""
+    if missing := sorted(t for t, n in partitions.items() if n <= 0):
+        raise ValueError(f"missing topics: {', '.join(missing)}")
+    if len(set(partitions.values())) != 1:
+        raise ValueError("unequal partitions: " + ", ".join(f"{t} has {n}" for t, n in sorted(partitions.items())))
+    return next(iter(partitions.values()))
+
+
 def stream_kafka(spark: SparkSession, brokers: str, topic: str, committed_only: bool = True, **options: str) -> DataFrame:
-    """key and value as bytes, ts, seq from the offset, part from the partition. Needs Spark's Kafka connector; untested without it."""
+    """key and value as bytes, ts, seq from the offset and the partition (unique, and in order within each), part from the partition. Needs Spark's Kafka connector; untested without it."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
     if committed_only:
         reader = reader.option("kafka.isolation.level", "read_committed")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load().select("key", "value", F.unix_millis("timestamp").alias("ts"), F.col("offset").alias("seq"), F.col("partition").alias("part"))
+    return reader.load().select("key", "value", F.unix_millis("timestamp").alias("ts"), (F.col("offset") * MOST_PARTITIONS + F.col("partition")).alias("seq"), F.col("partition").alias("part"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..config import Config, Guarantee
+from ..operators.streams import Builder
 
 log = logging.getLogger("tarnflow")
 
@@ -19,7 +19,7 @@ def start(df: DataFrame, name: str, out: str, config: Config, once: bool = False
     """Appends to Parquet in out. At least once: the file sink as it is, which is exactly once by its own log.
     Exactly once: one folder for each micro-batch, written whole or again."""
     config.validated()
-    checkpoint = os.path.join(config.state_dir, name)
+    checkpoint = f"{config.state_folder(df.sparkSession)}/{name}"
     writer = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.commit_interval_ms} milliseconds")
     if config.guarantee is Guarantee.EXACTLY_ONCE:
@@ -27,6 +27,14 @@ def start(df: DataFrame, name: str, out: str, config: Config, once: bool = False
     return writer.format("parquet").option("path", out).start()
 
 
+def start_all(topology: Builder, out: str, config: Config, once: bool = False) -> dict[str, StreamingQuery]:
+    """Starts every sink of a topology as a query of its own, into its own folder."""
+    sinks = topology.build()
+    if bounded := [name for name, df in sinks.items() if not df.isStreaming]:
+        raise ValueError(f"bounded sinks: {', '.join(bounded)}; run the topology instead")
+    return {name: start(df, name, f"{out}/{name}", config, once) for name, df in sinks.items()}
+
+
 def replayable(out: str) -> Callable[[DataFrame, int], None]:
     """A batch that runs again, after a crash between its sink and its commit, replaces what it wrote."""
 

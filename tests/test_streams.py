@@ -254,7 +254,7 @@ def test_partitions_of_keys(spark):
 
 def test_config():
     c = Config("app", ("x",)).validated()
-    assert (c.commit_interval_ms, c.restore_catch_up_ms, c.guarantee) == (100, 2000, Guarantee.AT_LEAST_ONCE) and c.state_dir.endswith("tarnflow-app")
+    assert (c.commit_interval_ms, c.guarantee) == (100, Guarantee.AT_LEAST_ONCE)
     with pytest.raises(ValueError, match="application_id.*sources.*commit_interval"):
         Config(commit_interval_ms=-1).validated()
 
@@ -282,3 +282,66 @@ def test_plans(spark):
         # Only the maxima of stretches of arrivals meet in one place.
         assert plan(name).split("== Physical Plan ==")[1].count("Exchange SinglePartition") <= 1
     assert "Exchange SinglePartition" not in plan("join_table_asof")
+
+
+def test_murmur2_of_many_keys_at_once(spark):
+    import random
+
+    from tarnflow.functions.partitioner import long_key, murmur2_all
+
+    r = random.Random(1)
+    keys = [bytes(r.randrange(256) for _ in range(n)) for n in range(40) for _ in range(3)]
+    assert murmur2_all(keys).tolist() == [murmur2(k) for k in keys] and murmur2_all([]).tolist() == []
+    df = spark.createDataFrame([(5,), (-1,), (None,)], "k bigint").select("k", kafka_partition(long_key(F.col("k")), 6).alias("p"))
+    want = {k: (murmur2(k.to_bytes(8, "big", signed=True)) & 0x7FFFFFFF) % 6 for k in (5, -1)} | {None: None}
+    assert {x["k"]: x["p"] for x in df.collect()} == want
+
+
+def test_partitions_of_a_join():
+    from tarnflow.sources.files import copartitioned
+
+    assert copartitioned({"a": 3, "b": 3}) == 3
+    with pytest.raises(ValueError, match="a has 3, b has 4"):
+        copartitioned({"a": 3, "b": 4})
+    with pytest.raises(ValueError, match="missing topics: b"):
+        copartitioned({"a": 3, "b": 0})
+
+
+def test_folds_of_a_large_key(spark):
+    """A changelog folds a key once: 40,000 rows of one key, by columns and by Python, against a loop."""
+    import time
+
+    n = 40_000
+    df = spark.range(n).select(F.lit("k").alias("key"), ((F.col("id") * 7919) % 1000).alias("value"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.lit(0).alias("part"))
+    want, acc = [], 7
+    for i in range(n):
+        acc = (acc * 33 + i * 7919 % 1000) % 1_000_003
+        want.append(acc)
+    for fold in (ColumnFold(F.lit(7), lambda acc, v: (acc * 33 + v) % 1_000_003, "bigint"), PythonFold(lambda: 7, lambda k, v, acc: (acc * 33 + v) % 1_000_003, "bigint")):
+        began = time.time()
+        table = Builder(spark).stream("s", df).group_by_key().aggregate(fold)
+        assert [r["value"] for r in table.changelog().orderBy("seq").collect()] == want
+        assert [tuple(r) for r in table.snapshot().collect()] == [("k", want[-1])]
+        assert time.time() - began < 40
+
+
+def test_python_folds_of_keys_with_nulls(spark):
+    data = [(None, 1, 0, 0), ("a", 2, 1, 1), (None, 3, 2, 2), ("a", None, 3, 3), ("b", 5, 4, 4)]
+    df = spark.createDataFrame(data, "key string, value bigint, ts bigint, seq bigint")
+    table = Builder(spark).stream("s", df).group_by_key().aggregate(PythonFold(list, lambda k, v, acc: [*acc, v], "array<bigint>"))
+    assert {r["key"]: r["value"] for r in table.snapshot().collect()} == {None: [1, 3], "a": [2, None], "b": [5]}
+    assert [(r["seq"], r["value"]) for r in table.changelog().orderBy("seq").collect()] == [(0, [1]), (1, [2]), (2, [1, 3]), (3, [2, None]), (4, [5])]
+    empty = Builder(spark).stream("s", df.limit(0)).group_by_key().aggregate(PythonFold(list, lambda k, v, acc: acc, "array<bigint>"))
+    assert empty.snapshot().collect() == empty.changelog().collect() == []
+
+
+def test_state_folders(spark):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    assert Config("app", ("x",), state_dir="s3://b/x").state_folder(cluster) == "s3://b/x"
+    with pytest.raises(ValueError, match="state_dir must name a folder"):
+        Config("app", ("x",)).state_folder(cluster)
+    cluster.conf.get = lambda *a: "hdfs:///shared/"
+    assert Config("app", ("x",)).state_folder(cluster) == "hdfs:///shared/tarnflow-app"
+    assert Config("app", ("x",)).state_folder(spark)
