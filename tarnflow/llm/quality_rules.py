@@ -19,7 +19,9 @@ rows. Other columns are not read; `keep` passes them on, whatever their names.
 
 from __future__ import annotations
 
+import io
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +34,9 @@ from .common import arrow_rows, free_name, kept, pieces, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\v\f\r "
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of a text whose words are objects at once.
+SLICE = 1 << 20
 WINDOW_WORDS = 8
 POOL_ROWS, H, STEPS = 40, 0.6, 4
 #: The statistics of the vector and the least standard deviation each is given; most documents have no symbols or repeats at all.
@@ -45,20 +50,36 @@ REWEIGHTED = 0.975
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+def word_codes(text: str) -> np.ndarray:
+    """A hash of each word, by slices, so that a long text's words are never all objects at once."""
+    data, out, at = text.encode(), [], 0
+    while at < len(data):
+        end = _SPACE.search(data, at + SLICE) if at + SLICE < len(data) else None
+        to = end.start() if end else len(data)
+        mine = data[at:to].split()
+        out.append(np.fromiter(map(hash, mine), dtype=np.int64, count=len(mine)))
+        at = to
+    return np.concatenate(out).view(np.uint64)
+
+
 def text_counts(texts: list[str | None]) -> np.ndarray:
     """rows x COUNTS."""
     out = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
-    words: list[bytes] = []
+    codes: list[np.ndarray] = []
     for i, text in enumerate(texts):
         if not text:
             continue
-        mine = text.encode().split()
-        words += mine
-        lines = [x for x in text.split("\n") if x.strip(SPACES)]
-        out[i] = len(mine), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), 0, len(lines)
-    n = len(words)
+        codes.append(word_codes(text))
+        lines, seen = 0, set()
+        for line in io.StringIO(text, newline="\n"):
+            line = line.removesuffix("\n")
+            if line.strip(SPACES):
+                lines += 1
+                seen.add(line)
+        out[i] = len(codes[-1]), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), lines - len(seen), 0, lines
+    code = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint64)
+    n = len(code)
     if n >= WINDOW_WORDS:
-        code = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
         doc = np.repeat(np.arange(len(texts)), out[:, 0])
         ends = np.cumsum(out[:, 0])
         windows = n - WINDOW_WORDS + 1

@@ -16,11 +16,16 @@ def plain_counts(text):
     return [len(words), sum(len(w.decode()) for w in words), sum(c in q.SYMBOLS for c in text or ""), len(lines) - len(set(lines)), len(inside), len(lines)]
 
 
-def test_counts_by_brute_force():
+def test_counts_by_brute_force(monkeypatch):
     r = random.Random(5)
     texts = [x[1] for x in rows()] + ["a b c d e f g h a b c d e f g h", "x y " * 50, "l\nl\n\n \nl\n l", "#*$%&|<> ok", "a b c d e f g\x1ch a b"]
     texts += [" ".join(r.choice("ab") for _ in range(60)) for _ in range(30)]
-    assert q.text_counts(texts).tolist() == [plain_counts(t) for t in texts]
+    texts += ["a\rb\r\nc\n\x0b\nd\x85e\u2028f\n\nd\x85e\u2028f"]
+    want = [plain_counts(t) for t in texts]
+    assert q.text_counts(texts).tolist() == want
+    for size in (1, 7, 100):
+        monkeypatch.setattr(q, "SLICE", size)
+        assert q.text_counts(texts).tolist() == want
 
 
 def corpus():
