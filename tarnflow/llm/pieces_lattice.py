@@ -33,6 +33,8 @@ from .common import arrow_rows, pieces, table
 SPACE = "▁"
 WORDS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 LONG = 256
+#: The longest word whose symbols fit in the bits of a long.
+MASKED = 61
 REMEMBERED = 900_000
 SIEVE = 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -349,15 +351,25 @@ def piece_table(spark: SparkSession, model: str | None = None) -> DataFrame:
     return spark.createDataFrame([(w, i, float(p.scores[i])) for w, i in p.normal.items()], "piece string, id int, score double")
 
 
-def lattice_native(words: DataFrame, vocabulary: DataFrame, most: int = 16) -> DataFrame:
-    """word, symbols of distinct words (word, spaces as SPACE) under a unigram vocabulary, in Spark alone: substrings are
-    exploded, joined to the broadcast piece table (bounded by the vocabulary), grouped by word and folded by Viterbi in an
-    aggregate over the places. words are partitioned once, by word; a character without a piece has a score below all."""
+def lattice_native(words: DataFrame, vocabulary: DataFrame, most: int = 16, bpe: bool = False) -> DataFrame:
+    """word, symbols of distinct words (word, spaces as SPACE), in Spark alone: substrings are exploded, joined to the broadcast
+    piece table (bounded by the vocabulary), grouped by word and folded in an aggregate: by Viterbi over the places for a
+    unigram vocabulary, by merges for a BPE one. words are partitioned once, by word. A character without a piece has a score
+    below all, or is a symbol that never merges. With bpe, words of over MASKED characters are left out, as a long's bits are
+    the starts of their symbols."""
     words = words.select("word").distinct()
     n = F.length("word")
+    if bpe:
+        words = words.filter((n <= MASKED) & (n > 0))
     spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("s") + 1))).alias("k"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s"), F.col("k")))
     edges = spans.join(F.broadcast(vocabulary), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
+    out = _merged(edges) if bpe else _best_paths(edges)
+    ends = F.concat(F.slice("starts", 2, 1_000_000), F.array(F.length("word") + 1))
+    return out.select("word", F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda x: F.substring("word", x["a"], x["b"] - x["a"])).alias("symbols"))
+
+
+def _best_paths(edges: DataFrame) -> DataFrame:
     edges = edges.select("word", F.struct((F.col("s") + F.col("k") - 1).alias("e"), "s", F.coalesce("score", F.lit(-1e6)).alias("score")).alias("edge"))
     by_word = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     # best[i]: score and symbols of the best path that ends after i characters. Edges come in the order of their ends.
@@ -370,10 +382,25 @@ def lattice_native(words: DataFrame, vocabulary: DataFrame, most: int = 16) -> D
         better = ~new & (path["score"] > last["score"])
         return F.when(new, F.concat(acc, F.array(path))).when(better, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(path))).otherwise(acc)
 
-    starts = F.element_at(F.aggregate("edges", start, step), -1)["starts"]
-    out = by_word.select("word", starts.alias("starts"))
-    ends = F.concat(F.slice("starts", 2, 1_000_000), F.array(F.length("word") + 1))
-    return out.select("word", F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda x: F.substring("word", x["a"], x["b"] - x["a"])).alias("symbols"))
+    return by_word.select("word", F.element_at(F.aggregate("edges", start, step), -1)["starts"].alias("starts"))
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """Bit i of a word's state: a symbol starts after i characters, or the word ends. Each step merges the best edge that spans two symbols."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    low, high = bit(F.col("s") - 1), bit(F.col("s") + F.col("k") - 1)
+    inner = F.when(F.col("k") > 1, high - 2 * low).otherwise(F.lit(0).cast("long"))  # the bits between
+    edge = F.struct((-F.col("score")).alias("rank"), "s", low.bitwiseOR(high).alias("ends"), inner.alias("inner"))
+    by_word = edges.groupBy("word").agg(F.array_sort(F.filter(F.collect_list(edge), lambda x: x["inner"] != 0)).alias("edges"))
+
+    def step(state, _):
+        fits = F.filter("edges", lambda x: (state.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(state.bitwiseAND(x["inner"])) == 1))
+        return state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
+
+    places = F.sequence(F.lit(1), F.length("word"))
+    state = F.aggregate(places, bit(F.length("word") + 1) - 1, step)
+    folded = by_word.select("word", state.alias("state"))
+    return folded.select("word", F.filter(places, lambda i: F.col("state").bitwiseAND(bit(i - 1)) != 0).alias("starts"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

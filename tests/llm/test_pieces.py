@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -94,3 +95,16 @@ def test_native_lattice_is_the_best_path(spark):
     table = spark.createDataFrame([(w, i, s) for i, (w, s) in enumerate(VOCABULARY.items())], "piece string, id int, score double")
     got = {r["word"]: r["symbols"] for r in pl.lattice_native(words, table, 4).collect()}
     assert got == {w: best_path(w, VOCABULARY) for w in TRIED}
+
+
+def test_native_merges_are_the_library_s(spark):
+    """Over words of the tables and odd ones, with the pieces of the model at hand."""
+    r = random.Random(4)
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    e = pl.Encoder(pl.default_model())
+    words = sorted({w.replace(" ", pl.SPACE) for t in texts[:40] for w in e.words(t)} | {"".join(r.choice("thein▁éß漢1a") for _ in range(r.randint(1, 30))) for _ in range(200)} | {"▁" + "a" * 60, "x" * 62, "▁"})
+    got = {x["word"]: x["symbols"] for x in pl.lattice_native(spark.createDataFrame([(w,) for w in words], "word string"), pl.piece_table(spark), e.pieces.most, bpe=True).collect()}
+    assert got.keys() == {w for w in words if len(w) <= pl.MASKED}
+    packed = dict(zip(words, e.pieces.encode_words(words), strict=True))
+    for w, symbols in got.items():
+        assert [i for x in symbols for i in e.pieces._ids(x)] == np.frombuffer(packed[w], "<u4").tolist(), w
