@@ -295,6 +295,7 @@ def _judged(docs: DataFrame, of: DataFrame, estimate: DataFrame, made: str) -> t
     """docs with their pool's estimate; base_failed, distance and kept of a row. The table of pairs is joined by its known size, or by AQE's split joins."""
     lang, source, found = (free_name(docs, x) for x in ("of_lang", "of_source", "of_pool"))
     pairs = of.join(estimate.select("pool", "estimate"), "pool", "left").select(F.coalesce("lang", F.lit(NULL)).alias(lang), F.coalesce("source", F.lit(NULL)).alias(source), F.col("estimate").alias(found))
+    pairs = kept(pairs, "pairs")  # so that its size is known: a row for each pair, which is broadcast as long as that is small
     joined = docs.join(pairs, (F.coalesce(docs["lang"], F.lit(NULL)) == F.col(lang)) & (F.coalesce(docs["source"], F.lit(NULL)) == F.col(source)))
     n = F.col(made)
     failed = (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
