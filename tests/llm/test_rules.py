@@ -36,7 +36,9 @@ def corpus():
 
 
 def test_outliers_go_and_clean_documents_stay(spark):
-    got = {r["doc_id"]: r for r in q.verdicts(clashing(docs(spark, corpus()))).collect()}
+    found = q.verdicts(clashing(docs(spark, corpus()))).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(corpus())
     assert all(got[i]["kept"] for i in range(400)), [i for i in range(400) if not got[i]["kept"]]
     assert not any(got[500 + i]["kept"] for i in range(12))
     assert got[1000]["n_words"] == 0 and got[1000]["base_failed"] and not got[1000]["kept"]
@@ -44,7 +46,6 @@ def test_outliers_go_and_clean_documents_stay(spark):
         want = plain_counts(t)
         assert [got[i][c] for c in q.COUNTS[:5]] == want[:5]
         assert got[i]["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-    assert len(q.verdicts(docs(spark, corpus())).collect()) == len(corpus())
 
 
 def test_kept_rows_have_the_columns_of_docs(spark):
