@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to a Python worker; texts are long, so the default of 10,000 is too many.
 ARROW_ROWS = 512
@@ -50,6 +51,29 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(at)
 
 
+#: The most bits of a sieve, 16 MB.
+SIEVE_BITS = 1 << 27
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter, as unsigned 64-bit words, of keys (key long): 16 bits for each, as far as SIEVE_BITS go. It is bounded, and only
+    spares rows a shuffle that they don't need: a join decides, so that a full sieve costs time but no rows."""
+    bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (16 * keys.count()).bit_length()))
+    place = F.explode(F.array(F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1)))).alias("place")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # a row for each word at most
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def sieved(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (int64) may be among those of the sieve."""
+    keys, mask = keys.view(np.uint64), np.uint64(64 * len(words) - 1)
+    held = [(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) for at in (keys & mask, (keys >> np.uint64(32)) & mask)]
+    return (held[0] & held[1]).astype(bool)
+
+
 def free_name(df: DataFrame, name: str = "made") -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, free_name, kept, table
+from .common import arrow_rows, free_name, kept, sieve, sieved, table
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -319,10 +319,24 @@ def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
     doc_id, and one row of it. The others are few beside the texts, so it is these that the texts are held against, by doc_id
     and text: a doc_id may have texts of several components, each of which is judged for itself. Only the texts of doc_ids that
     occur several times in a component are held against each other. Rows without a doc_id stay."""
-    gone_id, gone_key, root = (free_name(docs, x) for x in ("gone_id", "gone_key", "root"))
-    key = F.xxhash64(docs["text"])
+    gone_id, gone_key, root, mark = (free_name(docs, x) for x in ("gone_id", "gone_key", "root", "mark"))
     gone = kept(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "gone")
-    stay = docs.join(gone, (docs["doc_id"] == gone[gone_id]) & (key == gone[gone_key]), "left_anti")
+    names = docs.columns
+    words = docs.sparkSession.sparkContext.broadcast(sieve(gone.select(F.xxhash64(gone_id, gone_key).alias("key"))))  # of bounded size
+
+    def passed(may: bool):
+        """The rows that the sieve holds, or those that it doesn't: these stay for certain, and are never moved."""
+
+        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = sieved(words.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(held == may))
+
+        return docs.withColumn(mark, F.xxhash64("doc_id", F.xxhash64("text"))).mapInArrow(each, docs.schema)
+
+    arrow_rows(docs.sparkSession)
+    maybe = passed(True)
+    stay = passed(False).unionByName(maybe.join(gone, (maybe["doc_id"] == gone[gone_id]) & (F.xxhash64(maybe["text"]) == gone[gone_key]), "left_anti")).select(*names)
     again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = kept(again.select(F.col("doc_id").alias(gone_id)).distinct(), "again")
     if not again.take(1):

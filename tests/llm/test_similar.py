@@ -83,3 +83,14 @@ def test_texts_of_a_repeated_id_are_judged_each_for_itself(spark, keep):
     data = [(1, a), (2, a.upper()), (2, b), (5, c), (5, d), (6, c.upper()), (7, d.upper()), (8, "x y z " + b[::-1]), (8, "x y z " + b[::-1])]
     stay = keep(docs(spark, [(i, t, "en", "a", 0) for i, t in data])).collect()
     assert sorted((x["doc_id"], x["text"]) for x in stay) == sorted([(1, a), (2, b), (5, c), (5, d), (8, data[-1][1])])
+
+
+def test_a_sieve_holds_all_its_keys(spark):
+    import numpy as np
+    from tarnflow.llm import common
+
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    words = common.sieve(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert common.sieved(words, keys).all()
+    assert common.sieved(words, np.random.default_rng(2).integers(-(2**63), 2**63, 20_000)).mean() < 0.05
+    assert not common.sieved(common.sieve(spark.createDataFrame([], "key long")), keys).any()
