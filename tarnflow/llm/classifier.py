@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, free_name, kept, pieces, table
+from .common import arrow_rows, free_name, kept, pieces, table, tidy
 
 STEP, TAPS, CHUNK = 4, 3, 256
 WIDTH = STEP * TAPS
@@ -34,7 +34,7 @@ WINDOWS = CHUNK // STEP
 SAMPLE, SAMPLE_BYTES = 1000, 32_768
 EPOCHS, BATCH, RATE, SEED = 16, 32, 0.01, 7
 #: Bytes that go through the network at once; a multiple of CHUNK.
-SLICE = 1 << 19
+SLICE = 1 << 18
 THRESHOLD = 0.3
 #: The share of passages among what is learnt from, and their least bytes.
 CUT, CUT_LEAST = 0.3, 20
@@ -207,11 +207,11 @@ def scored(docs: DataFrame, net: Network | None, columns: list[str], name: str =
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text", 1_000_000):
+            for batch in pieces(whole, "text", SLICE):
                 p = probabilities(net, batch.column(batch.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns] + [pa.array(p)], names=[*columns, name])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(each, schema)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(tidy(each), schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_rows, table
+from .common import arrow_rows, table, tidy
 from .tokens import default_vocabulary, text_ids
 
 WINDOW, BINS, DEPTH = 4096, 32, 4
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
         if rows:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(each), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, free_name, kept, pieces, table
+from .common import arrow_rows, free_name, kept, pieces, table, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\v\f\r "
@@ -118,7 +118,7 @@ def with_counts(docs: DataFrame, columns: list[str], name: str = "made") -> Data
                 made = pa.StructArray.from_arrays([pa.array(counts[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns] + [made], names=[*columns, name])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(each, schema)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(tidy(each), schema)
 
 
 def vector(name: str = "made") -> dict[str, Column]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, kept, table
+from .common import arrow_rows, kept, table, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns and the least lengths of what they match.
@@ -172,7 +172,7 @@ def scanned(docs: DataFrame, columns: list[str], name: str = "_found") -> DataFr
             found = pa.array([_scan(t.as_py()) for t in texts], _ARROW)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns] + [found], names=[*columns, name])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(each, schema)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(tidy(each), schema)
 
 
 def cuts(found: DataFrame) -> dict[str, int]:
@@ -236,7 +236,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in made[:4]), *(pa.array(c, pa.string()) for c in made[4:])], names=["doc_id", *(x.split()[0] for x in _SPANS.split(", "))])
 
-    return found.mapInArrow(each, "doc_id " + dict(found.dtypes)["doc_id"] + ", " + _SPANS)
+    return found.mapInArrow(tidy(each), "doc_id " + dict(found.dtypes)["doc_id"] + ", " + _SPANS)
 
 
 def _accepted(tokens: list[dict], accepted: dict[str, int]) -> list[tuple[int, int, int]]:
@@ -269,7 +269,7 @@ def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 arrays[batch.schema.get_field_index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

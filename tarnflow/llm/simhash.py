@@ -232,7 +232,7 @@ def join_pairs(i: np.ndarray, j: np.ndarray, names_l: np.ndarray, names_r: np.nd
 
 def near(left: np.ndarray, right: np.ndarray, distance: int, forest: Forest) -> None:
     """Joins all of left and right that differ in 1 to distance bits."""
-    step = max(1, 2_000_000 // max(1, len(right)))
+    step = max(1, 500_000 // max(1, len(right)))
     names_l, names_r = left.view(np.int64), right.view(np.int64)
     for at in range(0, len(left), step):
         d = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
