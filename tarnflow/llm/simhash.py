@@ -104,9 +104,9 @@ def correlated_groups(counts: np.ndarray, parts: int) -> list[list[int]]:
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    left, out = set(range(BITS)), []
+    left, out = set(range(len(corr))), []
     for p in range(parts):
-        size = (BITS - sum(map(len, out))) // (parts - p)
+        size = (len(corr) - sum(map(len, out))) // (parts - p)
         rest = sorted(left)
         sub = corr[np.ix_(rest, rest)]
         group = [rest[int(np.argmax(sub.max(axis=1)))]]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from corpus_pipeline import near_dedup
 from tarnflow.llm import simhash, similar
@@ -94,3 +95,54 @@ def test_a_sieve_holds_all_its_keys(spark):
     assert common.sieved(words, keys).all()
     assert common.sieved(words, np.random.default_rng(2).integers(-(2**63), 2**63, 20_000)).mean() < 0.05
     assert not common.sieved(common.sieve(spark.createDataFrame([], "key long")), keys).any()
+
+
+def drawn(n, near, seed=3):
+    """Fingerprints of 192 bits, and near copies of the first ones with 1 to 60 bits changed."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**64, (n, similar.WORDS), dtype=np.uint64)
+    bits = np.unpackbits(base[:near].view(np.uint8), axis=1, bitorder="little")
+    for row, d in zip(bits, r.integers(1, 61, near), strict=True):
+        row[r.permutation(64 * similar.WORDS)[:d]] ^= 1
+    return np.concatenate([base, np.packbits(bits, axis=1, bitorder="little").view(np.uint64)])
+
+
+@pytest.mark.parametrize("nodes", [100, 10_000, 65_536])
+@pytest.mark.parametrize("own", [True, False])
+def test_all_fingerprints_within_the_distance_meet(monkeypatch, nodes, own):
+    """Candidates of near-dedup come from the generalised pigeonhole search, against all pairs."""
+    monkeypatch.setattr(similar, "PAIRS", 500)
+    fp = drawn(500, 200)
+    partitions = similar.plan(fp, nodes, similar.DISTANCE)
+    assert sum(t + 1 for _, t in partitions) == similar.DISTANCE + 1
+    used = [b for bits, _ in partitions for b in bits]
+    assert len(set(used)) == len(used)
+    left = np.arange(len(fp)) if own else np.arange(500)
+    right = left if own else np.arange(500, len(fp))
+    label = similar.search(fp, np.full(len(fp), 100), left, right, partitions, 0.8)
+    apart = np.bitwise_count(fp[:, None, :] ^ fp[None, :, :]).sum(axis=2)
+    for a, b in zip(*np.nonzero(apart <= similar.DISTANCE), strict=True):
+        assert label[a] == label[b]
+    for a, b in zip(range(500, 700), range(200), strict=True):
+        assert label[a] != label[b] or apart[a, b] <= similar.WIDE
+
+
+def test_blocks_that_may_be_similar_meet():
+    bins = [(k, n, k, k + 3) for k, n in zip(range(4, 400, 4), [1, 30, 3, 2, 17, 9] * 20, strict=False)]
+    spans = similar.blocks(bins, 10, 0.8)
+    assert [x[0] for x in spans] == [x[0] for x in bins]
+    for (_, n, lo, hi), (_, at, parts, first, last) in zip(bins, spans, strict=True):
+        assert parts == max(1, -(-n // 10)) and first <= at and at + parts - 1 <= last
+        for (_, _, low, high), (_, to, more, *_) in zip(bins, spans, strict=True):
+            if 0.8 * max(lo, low) <= min(hi, high):
+                assert first <= to and to + more - 1 <= last
+
+
+def test_a_passage_repeated_in_one_of_two_texts(spark):
+    """Similarity is of sets, so fingerprints are, too: they don't move if a passage comes a hundred times."""
+    r = random.Random(11)
+    body, line = prose(r, 150), " qua sed non sit nec"
+    data = [(1, body + line * 100), (2, "another start " + body + line * 2), (3, prose(r, 150) + line * 100)]
+    got = similar.similar(docs(spark, [(i, t, "en", "a", 0) for i, t in data])).collect()
+    assert groups(data) == [1, 1, 3]
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1), (2, 1), (3, 3)]
